@@ -12,7 +12,10 @@ table of their counts joins up.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,42 +32,67 @@ from .storage import dropped, table, written
 class Packing:
     capacity: int = 2048
     end_id: int = 0
-    cache: int = 400_000
+    cache: int = 1_000_000
 
 
-class WordIds:
-    """Ids of texts, by the word: the tokenizer drops white space and no piece crosses it."""
+#: The tokenizer's cutting pattern for lower-case ASCII and Latin-1 letters.
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: White space beyond the ASCII kinds, and controls that Python alone takes for it.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+_TO_SPACE = dict.fromkeys((9, 10, 11, 12, 13), " ")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
+
+
+class WordIds(dict):
+    """Little-endian ids of words, made when first asked for: the tokenizer drops white space and no piece crosses it.
+
+    Words of ASCII and Latin-1 letters go straight to the library's merge model,
+    by the cuts its pattern makes; all others, and its special tokens, through
+    its whole chain. most: words kept.
+    """
 
-    #: ASCII white space, all of which the tokenizer's own patterns cut at.
     def __init__(self, file: str, most: int):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(file)
         self.library.no_truncation()
         self.library.no_padding()
         self.most = most
-        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        letters = _byte_letters()
+        self.spelt = {c: "".join(letters[b] for b in chr(c).encode()) for c in (*range(33, 127), *range(0xC0, 0x100))}
+
+    def __missing__(self, word: str) -> bytes:
+        if _PLAIN(word) and "<|" not in word:
+            out = []
+            for cut in _CUT.findall(word.lower()):
+                ids = self.parts.get(cut)
+                if ids is None:
+                    ids = self.parts[cut] = array("I", [t.id for t in self.library.model.tokenize(cut.translate(self.spelt))]).tobytes()
+                out.append(ids)
+            ids = b"".join(out)
+        else:
+            ids = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split() if (t or "").isascii() else _words(t) for t in texts]
-        every = set().union(*split) if split else set()
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(every.difference(self.known))
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-
-def _words(text: str) -> list[str]:
-    """Cut at ASCII white space alone; the library sees to all other."""
-    return text.translate(_TO_SPACE).split(" ") if text else []
+        if len(self) + len(self.parts) > self.most:
+            self.clear()
+            self.parts.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.translate(_TO_SPACE).split(" ") if _ODD(t) else t.split())) if t else b"" for t in texts]
 
 
-_TO_SPACE = {c: " " for c in (9, 10, 11, 12, 13, 32)}
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 _KEPT: dict[str, WordIds] = {}
 
 

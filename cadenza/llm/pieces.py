@@ -32,7 +32,7 @@ _NEVER = float("inf")
 class Pieces:
     """Encoder and decoder of one model file. cache: chunks kept, at most."""
 
-    def __init__(self, model_file: str, cache: int = 600_000):
+    def __init__(self, model_file: str, cache: int = 800_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -56,7 +56,7 @@ class Pieces:
         solid = f"[^{SPACE}{lone}]"
         self.chunks = re.compile(f"{cut}|{SPACE}*{solid}+|{SPACE}+" if not inside else "(?s:.+)").findall
         self.cache: dict[str, str] = {}
-        self.spoken: dict[str, str] = {}
+        self.changed: dict[str, str] = {}
         self.most = cache
 
     def normalise(self, text: str) -> str:
@@ -145,21 +145,25 @@ class Pieces:
             if (ids if k else self.merge(SPACE + c)) != sure:
                 raise ValueError(f"the agenda and the library differ on {c!r}")
             self.cache[c] = " ".join(map(str, ids))
-            self.spoken[c] = self.say(ids)
+            if (said := self.say(ids)) != c.replace(SPACE, " "):
+                self.changed[c] = said
 
     def batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """For each text: its ids with the end id, as decimals joined by spaces, and the text they decode to."""
+        if len(self.cache) > self.most:
+            self.cache.clear()
+            self.changed.clear()
         split = [self.chunks(self.normalise(t)) if t else [] for t in texts]
-        new = set().union(*split).difference(self.cache) if split else set()
-        if new:
-            keep = self.most
-            if len(self.cache) > keep:  # all chunks of the batch have to be there
-                self.cache.clear()
-                self.spoken.clear()
-                new = set().union(*split)
+        if new := set().union(*split).difference(self.cache):
             self.learn(new)
-        ids, spoken, end = self.cache.__getitem__, self.spoken.__getitem__, str(self.eos)
-        return [(" ".join([*map(ids, s), end]), "".join(map(spoken, s))[1:]) if s else (end, "") for s in split]
+        ids, end = self.cache.__getitem__, str(self.eos)
+        return [(" ".join([*map(ids, s), end]), self._spoken(s)) if s else (end, "") for s in split]
+
+    def _spoken(self, chunks: list[str]) -> str:
+        """Chunks that decode to themselves, nearly all, are not kept twice."""
+        if self.changed and not self.changed.keys().isdisjoint(chunks):
+            chunks = [self.changed.get(c, c) for c in chunks]
+        return "".join(chunks).replace(SPACE, " ")[1:]
 
 
 def _utf8(b: bytes) -> str:

@@ -6,6 +6,11 @@ import importlib
 
 _MODULES = {
     "op1_near_dedup": "near_dedup",
+    "op2_exact_dedup": "exact_dedup",
+    "op3_sentencepiece": "pieces",
+    "op5_secret_scan": "secrets",
+    "op7_media_columns": "media",
+    "op10_best_two_fit": "packing",
 }
 
 
@@ -22,4 +27,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .exact_dedup import OP2_SQL
+
+    return {"op2_exact_dedup": OP2_SQL}
