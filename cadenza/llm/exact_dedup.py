@@ -8,6 +8,8 @@ before the shuffle, so one text may hold any share of the rows.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ def exact_duplicates(docs: DataFrame, ignored: str = IGNORED) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("points"), F.regexp_replace(text, ignored, "").alias("same"))
     # Length and id as one exact number: more points first, then the smaller id, then no id.
-    big = F.lit(2**66).cast("decimal(38,0)")
-    half = F.lit(2**64).cast("decimal(38,0)")
+    big = F.lit(Decimal(2**66)).cast("decimal(38,0)")
+    half = F.lit(Decimal(2**64)).cast("decimal(38,0)")
     rank = F.col("points").cast("decimal(20,0)") * big + F.when(F.col("doc_id").isNull(), F.lit(0).cast("decimal(38,0)")).otherwise(half - F.col("doc_id").cast("decimal(20,0)"))
     ranked = rows.select(_hash128(F.col("same")).alias("h"), "same", rank.cast("decimal(38,0)").alias("rank"))
     groups = ranked.groupBy("h", "same").agg(F.count("*").alias("group_size"), F.max("rank").alias("best"))
