@@ -10,6 +10,8 @@ _MODULES = {
     "op3_sentencepiece": "pieces",
     "op5_secret_scan": "secrets",
     "op7_media_columns": "media",
+    "op8_kneser_ney": "ngram",
+    "op9_quality": "quality",
     "op10_best_two_fit": "packing",
 }
 
