@@ -9,6 +9,7 @@ _MODULES = {
     "op2_exact_dedup": "exact_dedup",
     "op3_sentencepiece": "pieces",
     "op5_secret_scan": "secrets",
+    "op6_html_text": "html",
     "op7_media_columns": "media",
     "op8_kneser_ney": "ngram",
     "op9_quality": "quality",
