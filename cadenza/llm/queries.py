@@ -8,6 +8,7 @@ _MODULES = {
     "op1_near_dedup": "near_dedup",
     "op2_exact_dedup": "exact_dedup",
     "op3_sentencepiece": "pieces",
+    "op4_tool_calls": "chat",
     "op5_secret_scan": "secrets",
     "op6_html_text": "html",
     "op7_media_columns": "media",
@@ -30,6 +31,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .chat import OP4_SQL
     from .exact_dedup import OP2_SQL
 
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_tool_calls": OP4_SQL}
