@@ -1 +1,127 @@
-"""Placeholder."""
+"""Queries over run state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import runs as R
+from . import views as V
+from .catalog import query
+from .views import STEPS
+
+_MUST = "(enabled AND (overwrite OR stored_hash IS DISTINCT FROM hash OR status IS DISTINCT FROM 'success'))"
+
+
+@query("t1_resume_cascade", f"""
+WITH {STEPS}, m AS (SELECT *, {_MUST} AS must FROM steps),
+b AS (SELECT *, coalesce(bool_or(must) OVER (PARTITION BY video_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS before FROM m)
+SELECT video_id, ord, step, CASE WHEN NOT enabled THEN 'disabled' WHEN must OR before THEN 'run' ELSE 'skipped' END AS decision FROM b""")
+def t1_resume_cascade(spark, d):
+    return R.decisions(V.steps(spark, d)).select("video_id", "ord", "step", "decision")
+
+
+@query("t1_start_from", f"""
+WITH {STEPS}, s AS (SELECT *, bool_or(step = 's3') OVER (PARTITION BY video_id ORDER BY ord) AS started FROM steps),
+e AS (SELECT *, coalesce(bool_or(started AND enabled AND step = 's5') OVER (PARTITION BY video_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS ended FROM s)
+SELECT video_id, ord, step, CASE WHEN ended OR NOT started THEN 'not_run' WHEN NOT enabled THEN 'disabled' ELSE 'run' END AS decision FROM e""")
+def t1_start_from(spark, d):
+    return R.decisions(V.steps(spark, d), R.Plan(start_from="s3", stop_after="s5")).select("video_id", "ord", "step", "decision")
+
+
+@query("p18_only_steps", f"""
+WITH {STEPS} SELECT video_id, ord, step, CASE WHEN step NOT IN ('s2', 's4') THEN 'not_run' WHEN NOT enabled THEN 'disabled' WHEN {_MUST} THEN 'run' ELSE 'skipped' END AS decision FROM steps""")
+def p18_only_steps(spark, d):
+    return R.decisions(V.steps(spark, d), R.Plan(only=("s2", "s4"), cascade=False)).select("video_id", "ord", "step", "decision")
+
+
+@query("a13_job_status", f"""WITH {STEPS} SELECT video_id, CASE WHEN bool_and(coalesce(status = 'success', FALSE)) THEN 'success' ELSE 'partial' END AS job_status FROM steps GROUP BY video_id""")
+def a13_job_status(spark, d):
+    s = V.steps(spark, d).withColumn("status", F.coalesce("status", F.lit("pending")))
+    return R.job_status(s, partial=True)
+
+
+_CELL = "coalesce(max(CASE WHEN step = '{0}' THEN CASE status WHEN 'success' THEN 'OK' WHEN 'failed' THEN 'FAILED' END END), 'NOT_RUN') AS {0}"
+
+
+@query("a11_status_matrix", f"WITH {STEPS} SELECT video_id, {', '.join(_CELL.format(f's{i}') for i in range(1, 7))} FROM steps GROUP BY video_id")
+def a11_status_matrix(spark, d):
+    return R.matrix(V.steps(spark, d), [f"s{i}" for i in range(1, 7)])
+
+
+@query("u5_failures", f"WITH {STEPS} SELECT video_id, step FROM steps WHERE status = 'failed'")
+def u5_failures(spark, d):
+    return R.failures(V.steps(spark, d))
+
+
+@query("t3_state_upsert", f"""
+WITH {STEPS}, s AS (SELECT video_id, step, status, stored_hash AS config_hash, CASE WHEN status = 'failed' THEN 'old' END AS error FROM steps),
+e AS (SELECT video_id, step, ord AS seq, CASE WHEN ord % 2 = 0 THEN 'success' ELSE 'failed' END AS status, hash AS config_hash, CASE WHEN ord % 2 = 1 THEN 'new' END AS error FROM steps WHERE video_id % 3 = 0
+  UNION ALL SELECT video_id, 's9', ord, 'running', NULL, NULL FROM steps WHERE video_id % 5 = 0),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, step ORDER BY seq DESC) AS rn FROM e) WHERE rn = 1)
+SELECT coalesce(s.video_id, l.video_id) AS video_id, coalesce(s.step, l.step) AS step, coalesce(l.status, s.status) AS status,
+  CASE WHEN l.status = 'success' THEN coalesce(l.config_hash, s.config_hash) ELSE s.config_hash END AS config_hash,
+  CASE WHEN l.status = 'success' THEN NULL ELSE coalesce(l.error, s.error) END AS error
+FROM s FULL JOIN l ON s.video_id = l.video_id AND s.step = l.step""")
+def t3_state_upsert(spark, d):
+    steps = V.steps(spark, d)
+    state = steps.select("video_id", "step", "status", F.col("stored_hash").alias("config_hash"), F.when(F.col("status") == "failed", "old").alias("error"))
+    none = F.lit(None).cast("string")
+    odd = F.col("ord") % 2 == 1
+    events = steps.where("video_id % 3 = 0").select("video_id", "step", F.col("ord").alias("seq"), F.when(odd, "failed").otherwise("success").alias("status"), F.col("hash").alias("config_hash"), F.when(odd, "new").alias("error"))
+    events = events.unionByName(steps.where("video_id % 5 = 0").select("video_id", F.lit("s9").alias("step"), F.col("ord").alias("seq"), F.lit("running").alias("status"), none.alias("config_hash"), none.alias("error")))
+    return R.upsert(state, events)
+
+
+@query("f33_backoff", "SELECT o_orderkey, greatest(0, 1.5::DOUBLE * pow(2, o_orderkey % 6)) AS delay FROM orders")
+def f33_backoff(spark, d):
+    from ..functions.text import backoff
+
+    return V.table(spark, d, "orders").select("o_orderkey", backoff(F.lit(1.5), F.lit(2.0), F.col("o_orderkey") % 6).alias("delay"))
+
+
+@query("f35_status_label", """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'OK' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'SKIPPED' WHEN 3 THEN 'ODD' ELSE 'NOT_RUN' END AS label FROM orders""")
+def f35_status_label(spark, d):
+    from ..functions.text import status_label
+
+    raw = F.element_at(F.array(*map(F.lit, ("success", "failed", "skipped", "odd", "not_run"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return V.table(spark, d, "orders").select("o_orderkey", status_label(raw).alias("label"))
+
+
+@query("l10_better_of_two", """
+SELECT o_orderkey, CASE WHEN o_custkey % 7 < o_orderkey % 7 THEN 'second' ELSE 'first' END AS chosen FROM orders""")
+def l10_better_of_two(spark, d):
+    return V.table(spark, d, "orders").select("o_orderkey", R.better_of(F.lit("first"), F.lit("second"), F.col("o_orderkey") % 7, F.col("o_custkey") % 7).alias("chosen"))
+
+
+@query("t6_fit_rounds")
+def t6_fit_rounds(spark, d):
+    """Texts that start off their gap, moved over two rounds against a renderer that shifts by the position's change."""
+    import uuid
+
+    from ..operators import fit as T
+
+    start = V.table(spark, d, "part").select(F.lit("v").alias("video_id"), F.col("p_partkey").alias("ord"), (700 + F.col("p_partkey") % 200).alias("y"))
+    events = start.select("video_id", "ord", F.lit(1280).alias("frame_height"), F.concat(F.lit(r"Dialogue: {\an2\pos(360,"), F.col("y").cast("string"), F.lit(")}x")).alias("line"))
+
+    def measure(e):
+        y = F.regexp_extract("line", r"\\pos\(\d+,(\d+)\)", 1).cast("long")
+        return e.select("video_id", F.col("ord").alias("index"), (y - 780).alias("gap"), F.lit("original").alias("confidence"))
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/cadenza-rounds"
+
+    def cut(df):
+        path = f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return T.fit(events, measure, cut)[0].select("ord", "line")
+
+
+@query("f40_warp")
+def f40_warp(spark, d):
+    from ..operators.warp import warp
+
+    e = V.table(spark, d, "embeddings").where("vec_id < 40").select("vec_id", F.slice("embedding", 1, 12).alias("a"))
+    cells = e.select("vec_id", F.posexplode("a").alias("i", "x")).join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.posexplode("a").alias("j", "y")), "vec_id")
+    return warp(cells.select(F.col("vec_id").cast("long").alias("pair_id"), "i", "j", F.abs(F.col("x") - F.col("y")).cast("double").alias("cost")))

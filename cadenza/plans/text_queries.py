@@ -1 +1,220 @@
-"""Placeholder."""
+"""Queries over text functions, on documents, conversations and pages. Texts are altered alike on both sides so that every branch has rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import timecode as C
+from . import views as V
+from .catalog import query
+
+
+def _docs(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", "text")
+
+
+@query("f1_srt_times", """
+SELECT l_orderkey, l_linenumber, format('{:02d}:{:02d}:{:02d},{:03d}', t // 3600000, t // 60000 % 60, t // 1000 % 60, t % 1000) AS code,
+  CASE WHEN t // 3600000 < 100 THEN t END AS back, format('{:d}:{:02d}:{:02d}.{:02d}', c // 360000, c // 6000 % 60, c // 100 % 60, c % 100) AS ass
+FROM (SELECT l_orderkey, l_linenumber, greatest(0, x) AS t, greatest(0, round_even(x / 10.0, 0)::BIGINT) AS c FROM (SELECT l_orderkey, l_linenumber, l_partkey * 200003 + l_suppkey * 5 - 900000 AS x FROM lineitem))""")
+def f1_srt_times(spark, d):
+    x = F.col("l_partkey") * 200003 + F.col("l_suppkey") * 5 - 900000
+    li = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
+    code = C.srt_time(F.col("x"))
+    return li.select("l_orderkey", "l_linenumber", code.alias("code"), C.srt_ms(code).alias("back"), C.ass_time(F.col("x")).alias("ass"))
+
+
+@query("s6_frame_rates", """
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_size / 2.0::DOUBLE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE round_even(p_partkey * 1000.0::DOUBLE / (p_size + 1000), 3) END AS fps FROM part""")
+def s6_frame_rates(spark, d):
+    i = F.col("p_partkey")
+    text = F.when(i % 4 == 0, (F.col("p_size") / 2).cast("string")).when(i % 5 == 0, F.concat(i.cast("string"), F.lit("/0"))).otherwise(F.concat((i * 1000).cast("string"), F.lit("/"), (F.col("p_size") + 1000).cast("string")))
+    return V.table(spark, d, "part").select("p_partkey", C.frame_rate(text).alias("fps"))
+
+
+@query("f38_chunk_seconds", "SELECT o_orderkey, round_even((o_custkey * 37 + 3) / 15999.0::DOUBLE, 3) AS second FROM orders")
+def f38_chunk_seconds(spark, d):
+    return V.table(spark, d, "orders").select("o_orderkey", C.chunk_seconds(F.col("o_custkey") * 37 + 3, F.lit(15999)).alias("second"))
+
+
+@query("f4_ass_escape", r"SELECT doc_id, replace(replace(replace('{' || text || '}', '{', '\{'), '}', '\}'), chr(10), '\N') AS text FROM documents")
+def f4_ass_escape(spark, d):
+    return _docs(spark, d).select("doc_id", T.ass_escape(F.concat(F.lit("{"), "text", F.lit("}"))).alias("text"))
+
+
+@query("f5_greedy_wrap", r"""
+WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM conversations),
+walk AS (
+  SELECT conv_id, turn, 1 AS i, []::VARCHAR[] AS done, words[1] AS cur, words FROM w WHERE len(words) > 0
+  UNION ALL
+  SELECT conv_id, turn, i + 1, CASE WHEN length(cur) + 1 + length(words[i + 1]) <= 42 THEN done ELSE list_append(done, cur) END,
+    CASE WHEN length(cur) + 1 + length(words[i + 1]) <= 42 THEN cur || ' ' || words[i + 1] ELSE words[i + 1] END, words
+  FROM walk WHERE i < len(words))
+SELECT conv_id, turn, array_to_string(list_append(done, cur), '|') AS lines FROM walk WHERE i = len(words)""")
+def f5_greedy_wrap(spark, d):
+    c = V.table(spark, d, "conversations")
+    return c.where(~T.is_blank(F.col("text"))).select("conv_id", "turn", F.array_join(T.wrap(F.col("text")), "|").alias("lines"))
+
+
+@query("f6_rebalance", r"""
+WITH RECURSIVE l AS (SELECT conv_id, turn, pos, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS words, line
+  FROM (SELECT conv_id, turn, unnest(str_split(regexp_replace(text, '\n$', ''), chr(10))) AS line, generate_subscripts(str_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS pos FROM conversations WHERE text <> '')),
+walk AS (
+  SELECT conv_id, turn, pos, 1 AS i, []::VARCHAR[] AS done, coalesce(words[1], line) AS cur, words FROM l
+  UNION ALL
+  SELECT conv_id, turn, pos, i + 1, CASE WHEN length(cur) + 1 + length(words[i + 1]) <= 42 THEN done ELSE list_append(done, cur) END,
+    CASE WHEN length(cur) + 1 + length(words[i + 1]) <= 42 THEN cur || ' ' || words[i + 1] ELSE words[i + 1] END, words
+  FROM walk WHERE i < len(words)),
+t AS (SELECT conv_id, turn, flatten(list(list_append(done, cur) ORDER BY pos)) AS parts FROM walk WHERE i = greatest(1, len(words)) GROUP BY conv_id, turn)
+SELECT conv_id, turn, CASE WHEN len(parts) <= 2 THEN array_to_string(parts, chr(10)) ELSE array_to_string(parts[1:greatest(1, len(parts) // 2)], ' ') || chr(10) || array_to_string(parts[greatest(1, len(parts) // 2) + 1:], ' ') END AS text FROM t""")
+def f6_rebalance(spark, d):
+    return V.table(spark, d, "conversations").where("text <> ''").select("conv_id", "turn", T.rebalance(F.col("text")).alias("text"))
+
+
+@query("f7_chars_per_second", "SELECT conv_id, turn, round(length(replace(text, chr(10), '')) / greatest(0.001, turn * 700 / 1000.0)::DOUBLE, 6) AS cps FROM conversations")
+def f7_chars_per_second(spark, d):
+    return V.table(spark, d, "conversations").select("conv_id", "turn", F.round(T.chars_per_second(F.col("text"), F.lit(0), F.col("turn") * 700), 6).alias("cps"))
+
+
+_TEXTS = "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN text || '你' WHEN 1 THEN text || chr(65533) WHEN 2 THEN 'Ã' || text WHEN 3 THEN text || ',?!;:' ELSE text END AS text FROM documents"
+
+
+def _texts(spark, d):
+    i, t = F.col("doc_id") % 7, F.col("text")
+    return _docs(spark, d).select("doc_id", F.when(i == 0, F.concat(t, F.lit("你"))).when(i == 1, F.concat(t, F.lit("�"))).when(i == 2, F.concat(F.lit("Ã"), t)).when(i == 3, F.concat(t, F.lit(",?!;:"))).otherwise(t).alias("text"))
+
+
+@query("f8_script_checks", f"WITH t AS ({_TEXTS}) SELECT doc_id, contains(text, chr(65533)) OR contains(text, 'Ã') AS garbled, regexp_matches(text, '[\\x{{3400}}-\\x{{9fff}}]') AS cjk FROM t")
+def f8_script_checks(spark, d):
+    return _texts(spark, d).select("doc_id", T.is_garbled(F.col("text")).alias("garbled"), T.has_cjk(F.col("text")).alias("cjk"))
+
+
+@query("f10_full_width", f"WITH t AS ({_TEXTS}) SELECT doc_id, md5(translate(text, ',?!;:', '，？！；：')) AS digest FROM t")
+def f10_full_width(spark, d):
+    return _texts(spark, d).select("doc_id", F.md5(T.full_width(F.col("text"))).alias("digest"))
+
+
+@query("f11_repeat_key", f"WITH t AS ({_TEXTS}) SELECT doc_id, md5(regexp_replace(replace(trim(text || '这一次', ' ' || chr(10)), '这一次', '这次'), '[，。？！,.?!]', '', 'g')) AS digest FROM t")
+def f11_repeat_key(spark, d):
+    return _texts(spark, d).select("doc_id", F.md5(T.repeat_key(F.concat("text", F.lit("这一次")))).alias("digest"))
+
+
+@query("f12_unfence", """
+SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN trim(left(text, 40), ' ' || chr(10)) ELSE 'x' || doc_id END AS text FROM documents""")
+def f12_unfence(spark, d):
+    i = F.col("doc_id")
+    body = F.concat(F.lit("x"), i.cast("string"))
+    text = F.when(i % 3 == 0, F.concat(F.lit(" ```srt\n"), body, F.lit("\n``` \n"))).when(i % 3 == 1, F.concat(F.lit("```"), F.lit(" "), body, F.lit("```"))).otherwise(F.substring("text", 1, 40))
+    return _docs(spark, d).select("doc_id", T.unfence(text).alias("text"))
+
+
+@query("f13_lenient_json", """
+SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN '{"a":' || doc_id || ',"b":{"c":[1,2]}}' END AS json FROM documents""")
+def f13_lenient_json(spark, d):
+    i = F.col("doc_id")
+    body = F.concat(F.lit('{"b": {"c": [1, 2]},\n "a": '), i.cast("string"), F.lit("}"))
+    text = F.when(i % 4 == 0, body).when(i % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 4 == 2, F.concat(F.lit("Here: "), body, F.lit(" done"))).otherwise(F.lit("none } {"))
+    return _docs(spark, d).select("doc_id", F.to_json(T.lenient_json(text)).alias("json"))
+
+
+@query("f14_llm_content", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'said ' || doc_id WHEN 1 THEN '{"k":' || doc_id || '}' END AS content FROM documents""")
+def f14_llm_content(spark, d):
+    i = F.col("doc_id")
+    inner = F.when(i % 3 == 0, F.concat(F.lit('"said '), i.cast("string"), F.lit('"'))).otherwise(F.concat(F.lit('{"k": '), i.cast("string"), F.lit("}")))
+    body = F.concat(F.when(i % 3 == 2, F.lit('{"error": "busy", ')).otherwise(F.lit("{")), F.lit('"choices": [{"message": {"content": '), inner, F.lit("}}]}"))
+    return _docs(spark, d).select("doc_id", T.llm_content(body).alias("content"))
+
+
+@query("f15_collapse", r"SELECT page_id, md5(trim(regexp_replace(html, '[\s\p{Z}]+', ' ', 'g'))) AS digest FROM pages")
+def f15_collapse(spark, d):
+    return V.table(spark, d, "pages").select("page_id", F.md5(T.collapse(F.col("html"))).alias("digest"))
+
+
+@query("f16_compact", r"""
+SELECT doc_id, left(regexp_replace(text, '[，,。！？!?\s\p{Z}]+', '', 'g'), 10) AS zh, rtrim(left(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), 34)) AS en FROM documents""")
+def f16_compact(spark, d):
+    return _docs(spark, d).select("doc_id", T.compact_zh(F.col("text")).alias("zh"), T.compact_en(F.col("text")).alias("en"))
+
+
+@query("f17_local_titles", r"""
+WITH s AS (SELECT doc_id, 'ab12' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, (doc_id % 30)::INT) END || '#tag' AS stem, CASE WHEN doc_id % 5 = 0 THEN '离婚 妈 GPS' ELSE '妈' END AS zh FROM documents),
+t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(stem, '^[a-zA-Z0-9]+', ''), '#.*', ''), '[，,。！？!?\s\p{Z}]+', '', 'g') AS title FROM s)
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '妻子设局逼离婚' WHEN length(title) >= 12 OR title[1:8] <> '' THEN title[1:8] ELSE '家庭冲突爆发' END AS first,
+  CASE WHEN doc_id % 5 = 0 THEN '丈母娘竟是主谋' WHEN length(title) >= 12 OR title[9:16] <> '' THEN title[9:16] ELSE '真相终于揭开' END AS second FROM t""")
+def f17_local_titles(spark, d):
+    i = F.col("doc_id")
+    stem = F.concat(F.lit("ab12"), F.when(i % 3 == 0, F.lit("")).otherwise(F.substring("text", F.lit(1), (i % 30).cast("int"))), F.lit("#tag"))
+    zh = F.when(i % 5 == 0, "离婚 妈 GPS").otherwise("妈")
+    t = _docs(spark, d).select("doc_id", T.local_titles(stem, zh).alias("t"))
+    return t.select("doc_id", F.col("t")[0]["zh"].alias("first"), F.col("t")[1]["zh"].alias("second"))
+
+
+@query("f18_title_groups", r"""
+WITH t AS (SELECT doc_id, rtrim(left(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), 34)) AS en FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR en = '' THEN 'A Shocking Family Twist' ELSE en END AS first, CASE WHEN doc_id % 4 = 0 OR en = '' THEN '真相终于揭开' ELSE 'zh' END AS second FROM t""")
+def f18_title_groups(spark, d):
+    i = F.col("doc_id")
+    group = lambda en, zh: F.struct(en.alias("en"), zh.alias("zh"))
+    groups = F.array(group(F.col("text"), F.lit(" z h")), group(F.lit("two"), F.when(i % 4 != 0, " z h！")), group(F.lit("three"), F.lit("three")))
+    t = _docs(spark, d).select("doc_id", T.title_groups(groups).alias("t"))
+    return t.select("doc_id", F.col("t")[0]["en"].alias("first"), F.col("t")[1]["zh"].alias("second"))
+
+
+@query("p11_plot_words", "SELECT doc_id, contains(text, 'th') AND contains(text, 'er') AND (contains(text, 'ß') OR contains(text, 'ing')) AS hit FROM documents")
+def p11_plot_words(spark, d):
+    t = F.col("text")
+    return _docs(spark, d).select("doc_id", (t.contains("th") & t.contains("er") & (t.contains("ß") | t.contains("ing"))).alias("hit"))
+
+
+@query("p12_transient", "SELECT doc_id, doc_id % 4 < 2 AS transient FROM documents")
+def p12_transient(spark, d):
+    message = F.element_at(F.array(*map(F.lit, ("HTTP 503 Busy", "Read Timed Out", "bad key", "no such file"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _docs(spark, d).select("doc_id", T.is_transient(message).alias("transient"))
+
+
+@query("p14_progress_only", "SELECT doc_id, doc_id % 3 = 0 AS progress, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Error: ' || doc_id ELSE 'plain ' || doc_id || chr(10) || 'more' END AS summary FROM documents")
+def p14_progress_only(spark, d):
+    i = F.col("doc_id").cast("string")
+    text = F.when(F.col("doc_id") % 3 == 0, "frame= 1 frames/s\n\nsize= 2 frames/s\n").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("frame= 1\nplain\nError: "), i)).otherwise(F.concat(F.lit("plain "), i, F.lit("\n\nmore\nsize= 2")))
+    return _docs(spark, d).select("doc_id", T.only_progress(text).alias("progress"), T.error_summary(text).alias("summary"))
+
+
+@query("p16_tail_lines", r"SELECT doc_id, array_to_string(list_filter(str_split(text, chr(10)), lambda x: regexp_replace(x, '[\s\p{Z}]', '', 'g') <> '')[-3:], chr(10)) AS tail FROM documents")
+def p16_tail_lines(spark, d):
+    return _docs(spark, d).select("doc_id", T.tail_lines(F.col("text"), 3).alias("tail"))
+
+
+@query("f32_file_hash", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def f32_file_hash(spark, d):
+    return _docs(spark, d).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query("f36_filter_path", r"SELECT page_id, replace(replace(replace('C:\' || url || '''', '\', '/'), ':', '\:'), '''', '\''') AS path FROM pages")
+def f36_filter_path(spark, d):
+    return V.table(spark, d, "pages").select("page_id", T.filter_path(F.concat(F.lit("C:\\"), "url", F.lit("'"))).alias("path"))
+
+
+@query("f37_data_url", "SELECT page_id, 'data:image/jpeg;base64,' || base64(encode(url)) AS url FROM pages")
+def f37_data_url(spark, d):
+    return V.table(spark, d, "pages").select("page_id", T.data_url(F.lit("image/jpeg"), F.col("url").cast("binary")).alias("url"))
+
+
+@query("f39_redact_key", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE '***REDACTED***' END AS api_key, url AS model FROM pages")
+def f39_redact_key(spark, d):
+    config = F.create_map(F.lit("api_key"), F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("url")), F.lit("model"), F.col("url"))
+    p = V.table(spark, d, "pages").select("page_id", T.redact(config).alias("m"))
+    return p.select("page_id", F.col("m")["api_key"].alias("api_key"), F.col("m")["model"].alias("model"))
+
+
+@query("s13_prompt_template", "SELECT doc_id, 'Translate:' || chr(10) || left(text, 50) || chr(10) || 'END' AS prompt FROM documents")
+def s13_prompt_template(spark, d):
+    return _docs(spark, d).select("doc_id", T.fill_template("Translate:\n{{srt}}\nEND", F.substring("text", 1, 50)).alias("prompt"))
+
+
+@query("k3_ass_header")
+def k3_ass_header(spark, d):
+    from ..sinks import ass_header
+
+    i = F.col("p_partkey")
+    return V.table(spark, d, "part").select("p_partkey", F.md5(ass_header(width=F.when(i % 3 != 0, 300 + i % 900), margin=F.col("p_size"))).alias("digest"))

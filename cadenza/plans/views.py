@@ -45,7 +45,8 @@ OTHER = """other AS (
 
 def found(spark: SparkSession, d: str) -> DataFrame:
     """Bands of frames: an order is a frame of 720 by 1280, its lines are the bands."""
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").cast("long").alias("ord"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), n.alias("ord"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
     x1 = 20 + F.col("l_partkey") % 260
     y1 = 300 + (F.col("l_suppkey") * 37 + F.col("ord") * 11) % 700
     return li.select((F.col("frame_id") % 97).alias("video_id"), "frame_id", "ord", F.lit(720).cast("long").alias("frame_width"), F.lit(1280).cast("long").alias("frame_height"), B.box(x1, y1, x1 + 60 + F.col("q") * 9, y1 + 20 + F.col("q") % 40, F.col("q") % 17).alias("b"))
@@ -54,7 +55,8 @@ def found(spark: SparkSession, d: str) -> DataFrame:
 FOUND = """found AS (
   SELECT frame_id % 97 AS video_id, frame_id, ord, 720 AS frame_width, 1280 AS frame_height, x1, y1, x1 + 60 + q * 9 AS x2, y1 + 20 + q % 40 AS y2,
     60 + q * 9 AS width, 20 + q % 40 AS height, q % 17 AS n
-  FROM (SELECT l_orderkey AS frame_id, l_linenumber::BIGINT AS ord, l_quantity::BIGINT AS q, 20 + l_partkey % 260 AS x1, 300 + (l_suppkey * 37 + l_linenumber * 11) % 700 AS y1 FROM lineitem))"""
+  FROM (SELECT *, 300 + (l_suppkey * 37 + ord * 11) % 700 AS y1 FROM (SELECT l_orderkey AS frame_id, l_suppkey, l_quantity::BIGINT AS q, 20 + l_partkey % 260 AS x1,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS ord FROM lineitem)))"""
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
