@@ -84,9 +84,9 @@ def ass(events: DataFrame, style: Style = Style(), keys: Keys = ("video_id",)) -
 
 
 def write_texts(documents: DataFrame, path: str) -> None:
-    """Contents as text files by key; the committer puts whole files in place."""
+    """Contents as text files by key; the committer puts whole files in place. The writer adds the last line feed itself."""
     keys = [c for c in documents.columns if c != "content"]
-    documents.select(*keys, F.col("content").alias("value")).write.partitionBy(*keys).option("lineSep", "").mode("overwrite").text(path)
+    documents.select(*keys, F.regexp_replace("content", r"\n\z", "").alias("value")).write.partitionBy(*keys).mode("overwrite").text(path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
