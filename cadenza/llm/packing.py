@@ -18,6 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import dropped, table, written
+from .storage import table, written
 
 
 @dataclass(frozen=True)
 class Packing:
     capacity: int = 2048
     end_id: int = 0
-    cache: int = 1_000_000
+    cache: int = 500_000
 
 
 #: The tokenizer's cutting pattern for lower-case ASCII and Latin-1 letters.
@@ -84,10 +85,15 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    def trim(self) -> None:
+        """Keeps the words met first, which are the common ones, and lets the memory of the others go."""
+        for known in (self, self.parts):
+            for w in list(islice(known, self.most // 8, None)):
+                del known[w]
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         if len(self) + len(self.parts) > self.most:
-            self.clear()
-            self.parts.clear()
+            self.trim()
         get = self.__getitem__
         return [b"".join(map(get, t.translate(_TO_SPACE).split(" ") if _ODD(t) else t.split())) if t else b"" for t in texts]
 
@@ -121,6 +127,7 @@ def _cut(file: str, p: Packing, with_ids: bool):
                     arrays.append(pa.array(cols[7], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        own.trim()
 
     return run
 
