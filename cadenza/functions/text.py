@@ -16,6 +16,7 @@ TITLE_DEFAULTS = (("A Shocking Family Twist", "家庭冲突爆发"), ("The Truth
 PLOT_TITLES = (("Wife Sets a Divorce Trap", "妻子设局逼离婚"), ("Mother-in-law Was Behind It", "丈母娘竟是主谋"))
 PLOT_ALL, PLOT_ANY = ("离婚", "妈"), ("定位", "GPS")
 TRANSIENT = ("timeout", "timed out", "temporarily", "connection", "reset", "rate limit", "429", "500", "502", "503", "504", "remote end closed", "ssl", "eof")
+CRASHES = ("3221225477", "access violation", "0xc0000005")
 STATUS_LABELS = {"success": "OK", "failed": "FAILED", "running": "RUNNING", "pending": "PENDING", "not_run": "NOT_RUN", "skipped": "SKIPPED", "disabled": "DISABLED"}
 
 
@@ -152,6 +153,10 @@ def is_transient(message: Column) -> Column:
     return has_any(message, TRANSIENT)
 
 
+def is_crash(message: Column) -> Column:
+    return has_any(message, CRASHES)
+
+
 def _solid_lines(text: Column) -> Column:
     return F.filter(lines_of(text), lambda x: strip(x) != "")
 

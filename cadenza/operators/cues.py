@@ -209,6 +209,19 @@ def quality_score() -> Column:
     return F.col("large_gap_count") * 5 + F.col("long_item_count") * 4 + F.col("short_item_count")
 
 
+def suspicious(cues: DataFrame, o: Limits = Limits(), keys: Keys = ("video_id",)) -> DataFrame:
+    """Windows to look at again: a report's gaps, then its long, then its short cues, each in order and at most as many as it lists."""
+    w = track(keys)
+
+    def part(rows: DataFrame, kind: int, name: str, most: int) -> DataFrame:
+        n = F.row_number().over(w)
+        return rows.withColumn("place", n.cast("long")).where(F.col("place") <= most).select(*keys, F.lit(kind).alias("kind_no"), F.lit(name).alias("kind"), "place", "index", F.col("ms").cast("long").alias("ms"))
+
+    found = gaps(cues, o, keys).select(*keys, "ord", F.col("before_index").alias("index"), F.col("gap_ms").alias("ms"))
+    timed = cues.withColumn("ms", duration())
+    return part(found, 1, "gap", o.gaps).unionByName(part(timed.where(F.col("ms") > o.long_ms), 2, "long", o.items)).unionByName(part(timed.where(F.col("ms") < o.short_ms), 3, "short", o.items))
+
+
 def errors(cues: DataFrame, tracks: DataFrame | None = None, keys: Keys = ("video_id",)) -> DataFrame:
     """Basic faults as ``keys, ord, check_no, message``, in order. ``tracks`` (keys) adds those without a cue."""
     w = track(keys)

@@ -421,3 +421,60 @@ def w14_seen_near(spark, d):
 @query("l11_cleaned_tracks")
 def l11_cleaned_tracks(spark, d):
     return Q.cleaned(V.cues(spark, d)).select("video_id", "ord", "start_ms", "end_ms", "text")
+
+
+@query("u1_suspicious_windows", f"""
+WITH {CUES}, g AS (SELECT video_id, ord, "index", start_ms - lag(end_ms) OVER (PARTITION BY video_id ORDER BY ord) AS gap, end_ms - start_ms AS n FROM cues),
+u AS (SELECT video_id, 1 AS kind_no, 'gap' AS kind, row_number() OVER (PARTITION BY video_id ORDER BY ord) AS place, 50 AS most, "index", gap AS ms FROM g WHERE gap > 9000
+  UNION ALL SELECT video_id, 2, 'long', row_number() OVER (PARTITION BY video_id ORDER BY ord), 20, "index", n FROM g WHERE n > 9000
+  UNION ALL SELECT video_id, 3, 'short', row_number() OVER (PARTITION BY video_id ORDER BY ord), 20, "index", n FROM g WHERE n < 250)
+SELECT video_id, kind_no, kind, place, "index", ms FROM u WHERE place <= most""")
+def u1_suspicious_windows(spark, d):
+    return Q.suspicious(V.cues(spark, d))
+
+
+@query("a14_count_mismatch", f"""
+WITH {CUES}, {OTHER} SELECT s.video_id, 'subtitle count mismatch: en=' || coalesce(o.n, 0) || ', source=' || s.n AS message
+FROM (SELECT video_id, count(*) AS n FROM cues GROUP BY 1) s LEFT JOIN (SELECT video_id, count(*) AS n FROM other GROUP BY 1) o ON o.video_id = s.video_id WHERE s.n <> coalesce(o.n, 0)""")
+def a14_count_mismatch(spark, d):
+    t = Q.timing(V.cues(spark, d), V.other(spark, d)).where(~F.col("count_equal"))
+    return t.select("video_id", F.concat(F.lit("subtitle count mismatch: en="), F.col("en_count").cast("string"), F.lit(", source="), F.col("source_count").cast("string")).alias("message"))
+
+
+@query("j6_frame_pairs", """
+SELECT a.l_orderkey AS frame_id, a.n AS sample_no, a.l_partkey AS final_id, b.l_suppkey AS original_id
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) a
+JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.n = b.n
+WHERE a.n % 5 <> 0 AND b.n % 3 <> 0""")
+def j6_frame_pairs(spark, d):
+    """Pairs by the sample's number: a frame that could not be read leaves the others' pairs alone."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long")
+    f = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), n.alias("sample_no"), "l_partkey", "l_suppkey")
+    final, original = f.where("sample_no % 5 <> 0"), f.where("sample_no % 3 <> 0")
+    return final.select("frame_id", "sample_no", F.col("l_partkey").alias("final_id")).join(original.select("frame_id", "sample_no", F.col("l_suppkey").alias("original_id")), ["frame_id", "sample_no"])
+
+
+@query("j7_adjustments", r"""
+SELECT p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 AND d <> 0 THEN '\pos(360,' || greatest(640, least(1100, 700 + d)) || ')' ELSE '\pos(360,700)' END AS line FROM (SELECT p_partkey, p_partkey % 7 * 20 - 60 AS d FROM part)""")
+def j7_adjustments(spark, d):
+    from ..operators.fit import moved
+
+    p = V.table(spark, d, "part")
+    events = p.select(F.lit("v").alias("video_id"), F.col("p_partkey").alias("ord"), F.lit(1280).alias("frame_height"), F.lit(r"\pos(360,700)").alias("line"))
+    moves = p.where("p_partkey % 3 = 0").select(F.lit("v").alias("video_id"), F.col("p_partkey").alias("index"), (F.col("p_partkey") % 7 * 20 - 60).alias("delta"))
+    return moved(events, moves).select("ord", "line")
+
+
+@query("t7_fallback_choice", f"""
+WITH {CUES}, q AS (SELECT video_id, 5 * count(*) FILTER (WHERE gap > 9000) + 4 * count(*) FILTER (WHERE n > 9000) + count(*) FILTER (WHERE n < 250) AS score FROM (SELECT video_id, start_ms - lag(end_ms) OVER (PARTITION BY video_id ORDER BY ord) AS gap, end_ms - start_ms AS n FROM cues) GROUP BY 1),
+f AS (SELECT video_id, 5 * count(*) FILTER (WHERE gap > 9000) + 4 * count(*) FILTER (WHERE n > 9000) + count(*) FILTER (WHERE n < 250) AS score FROM (SELECT video_id, start_ms - lag(e) OVER (PARTITION BY video_id ORDER BY ord) AS gap, e - start_ms AS n FROM (SELECT *, end_ms - video_id % 5 * 2000 + 4000 AS e FROM cues)) GROUP BY 1)
+SELECT q.video_id, CASE WHEN f.score < q.score THEN 'fallback' ELSE 'engine' END AS chosen FROM q JOIN f ON f.video_id = q.video_id""")
+def t7_fallback_choice(spark, d):
+    from ..operators.runs import better_of
+
+    c = V.cues(spark, d)
+    score = lambda x, name: Q.quality(x).select("video_id", Q.quality_score().alias(name))
+    both = score(c, "a").join(score(c.withColumn("end_ms", F.col("end_ms") - F.col("video_id") % 5 * 2000 + 4000), "b"), "video_id")
+    return both.select("video_id", better_of(F.lit("engine"), F.lit("fallback"), F.col("a"), F.col("b")).alias("chosen"))

@@ -173,6 +173,25 @@ def p12_transient(spark, d):
     return _docs(spark, d).select("doc_id", T.is_transient(message).alias("transient"))
 
 
+@query("p13_crash", "SELECT doc_id, doc_id % 3 <> 2 AS crash FROM documents")
+def p13_crash(spark, d):
+    message = F.element_at(F.array(*map(F.lit, ("exit 3221225477", "Access Violation at", "exit 1"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return _docs(spark, d).select("doc_id", T.is_crash(message).alias("crash"))
+
+
+@query("a15_title_size", """
+SELECT p_partkey % 50 AS video_id, max(CASE WHEN widest <= 600 AND tall <= 330 THEN size END) AS size
+FROM (SELECT p_partkey % 50 AS p_partkey, size, max(size * (p_size % 12 + 1)) AS widest, sum(size + p_partkey % 13) + 11 * (count(*) - 1) AS tall FROM part, range(40, 61, 2) t(size) WHERE p_partkey <= 150 GROUP BY 1, 2) GROUP BY 1""")
+def a15_title_size(spark, d):
+    from ..operators.titles import fitting_size
+
+    i = F.col("p_partkey")
+    sizes = F.explode(F.sequence(F.lit(40), F.lit(60), F.lit(1))).alias("size")
+    p = V.table(spark, d, "part").where("p_partkey <= 150").select((i % 50).alias("video_id"), i.alias("line_no"), "p_size", sizes)
+    lines = p.select("video_id", "line_no", F.col("size").cast("long").alias("size"), (F.col("size") * (F.col("p_size") % 12 + 1)).alias("width"), (F.col("size") + F.col("line_no") % 13).alias("height"))
+    return fitting_size(lines, 600, 330)
+
+
 @query("p14_progress_only", "SELECT doc_id, doc_id % 3 = 0 AS progress, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Error: ' || doc_id ELSE 'plain ' || doc_id || chr(10) || 'more' END AS summary FROM documents")
 def p14_progress_only(spark, d):
     i = F.col("doc_id").cast("string")
