@@ -323,11 +323,11 @@ def t10_placeholder_track(spark, d):
     return A.placeholder(V.cues(spark, d)).select("video_id", "ord", "start_ms", "text")
 
 
-@query("v_en_check", f"""
+@query("e2_en_check", f"""
 WITH {CUES}, {OTHER}, {_ZIP}
 SELECT video_id, place AS ord, s_start_ms AS start_ms, s_end_ms AS end_ms,
   o_start_ms <> s_start_ms OR o_end_ms <> s_end_ms AS adjusted, contains(o_text, chr(65533)) AS garbled FROM z WHERE there IS NOT NULL""")
-def v_en_check(spark, d):
+def e2_en_check(spark, d):
     out = A.checked(V.cues(spark, d), V.other(spark, d))
     return out.select("video_id", "ord", "start_ms", "end_ms", F.exists("warnings", lambda w: F.contains(w, F.lit("adjusted"))).alias("adjusted"), "garbled")
 
@@ -418,8 +418,8 @@ def w14_seen_near(spark, d):
     return S.seen_near(h, i)
 
 
-@query("l11_cleaned_tracks")
-def l11_cleaned_tracks(spark, d):
+@query("e2_cleaned_tracks")
+def e2_cleaned_tracks(spark, d):
     return Q.cleaned(V.cues(spark, d)).select("video_id", "ord", "start_ms", "end_ms", "text")
 
 
