@@ -175,3 +175,31 @@ def test_read_and_write_files(spark, tmp_path):
     K.write_texts(K.srt(cues.withColumn("video_id", F.lit("a"))), str(tmp_path / "out"))
     written = list((tmp_path / "out").rglob("*.txt"))
     assert [p.read_text() for p in written] == ["1\n00:00:01,000 --> 00:00:02,000\nhi\n"]
+
+
+def nearest(cues, seconds, n, interval, clamp, fill):
+    """The sampler row by row."""
+    rows = sorted((c for c in cues if c[1] > c[0]), key=lambda c: abs((c[0] + c[1]) / 2 - seconds * 500))
+    out = []
+    for a, b in rows:
+        m = (a + b) / 2 / 1000
+        if clamp:
+            m = max(a / 1000 + 0.05, min(b / 1000 - 0.05, m))
+        else:
+            m = round(max(0, min(seconds, m)), 3)
+        if len(out) < n and all(abs(m - x) >= interval for x in out):
+            out.append(round(max(0, min(seconds, m)), 3))
+    for a, b in rows if fill else []:
+        m = round(max(0, min(seconds, (a + b) / 2 / 1000)), 3)
+        if len(out) < n and m not in out:
+            out.append(m)
+    return sorted(out)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 30_000), st.integers(-2, 2000)), min_size=1, max_size=15), st.sampled_from([0.5, 1.0, 4.0]), st.booleans(), st.booleans())
+def test_near_centre(spark, items, interval, clamp, fill):
+    items = [(2 * a, 2 * (a + n)) for a, n in items]  # whole middles: no ties at the third place
+    c = track(spark, [(a, b, "x") for a, b in items]).withColumn("t", F.lit(50.0))
+    got = S.near_centre(c, "t", 4, interval, clamp=clamp, fill=fill, keys=("video_id", "t")).first()
+    assert (got.seconds if got else []) == nearest(items, 50.0, 4, interval, clamp, fill)
