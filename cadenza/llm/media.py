@@ -16,8 +16,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import keyed_texts, table
 
 #: Magic numbers, the bytes before them, and the format each names.
 MAGIC = (
@@ -258,7 +259,7 @@ def inspect(blobs: DataFrame) -> DataFrame:
     table an empty result; other columns are ignored.
     """
     schema = "id long, media_type string, corrected boolean, media_length long, payload binary, embedded array<struct<start: long, length: long, media_type: string, content: binary>>"
-    return blobs.select("id", "content", "declared").mapInArrow(_inspect, schema)
+    return blobs.select(F.col("id").cast("long").alias("id"), F.col("content").cast("binary").alias("content"), F.col("declared").cast("string").alias("declared")).mapInArrow(_inspect, schema)
 
 
 def _stored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,5 +286,5 @@ def _stored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op7_media_columns(spark, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` stored as 8-bit sound, sniffed, carved and read back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = keyed_texts(table(spark, sf_dir, "documents"))
     return docs.mapInArrow(_stored, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

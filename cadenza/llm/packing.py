@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import table, written
+from .storage import keyed_texts, table, written
 
 
 @dataclass(frozen=True)
@@ -239,8 +239,7 @@ def pack(docs: DataFrame, tokenizer_file: str, p: Packing = Packing(), with_ids:
     result; columns besides ``doc_id`` and ``text`` are ignored.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + (", ids binary" if with_ids else "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return place(written(rows.mapInArrow(_cut(tokenizer_file, p, with_ids), schema), "pieces"), p)
+    return place(written(keyed_texts(docs).mapInArrow(_cut(tokenizer_file, p, with_ids), schema), "pieces"), p)
 
 
 def op10_best_two_fit(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .storage import table
+from .storage import keyed_texts, table
 
 #: The library's mark for a space.
 SPACE = "▁"
@@ -218,12 +218,12 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     Repeated rows and null ids give a row each; an empty table gives an empty
     result; columns besides ``doc_id`` and ``text`` are ignored.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encode(model_file, True), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return keyed_texts(docs).mapInArrow(_encode(model_file, True), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Digests of ids and decoded texts of the whole ``documents`` table."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = keyed_texts(table(spark, sf_dir, "documents"))
     return docs.mapInArrow(_encode(public_tokenizers.path("piece_bpe_32k.model"), False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

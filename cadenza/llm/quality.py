@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .storage import table
+from .storage import keyed_texts, table
 
 U64 = np.uint64
 
@@ -254,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame, p: Quality = Quality()) -> Data
     Repeated rows and null ids give a row each; an empty ``docs`` gives an
     empty result; without labels every score is 0.5; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = keyed_texts(docs)
     out = scored(docs.withColumn("held_out", fold(F.col("doc_id"), 3) == 1), fitted(docs, labels, p), p)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -22,7 +22,7 @@ from urllib.parse import unquote_to_bytes
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .storage import table
+from .storage import keyed_texts, table
 
 #: Kinds in rank order, their patterns, and the least length of what is kept.
 KINDS = ("assign", "access", "hex")
@@ -236,7 +236,7 @@ def find_secrets(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
     or empty text has none. Repeated rows and null ids give a row each, an
     empty table an empty result; other columns are ignored.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scan(scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long")
+    return keyed_texts(docs).mapInArrow(_scan(scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long")
 
 
 def redact(docs: DataFrame, scan: Scan = Scan(), mark: str = "[secret]") -> DataFrame:

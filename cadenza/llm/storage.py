@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_root(spark: SparkSession) -> str:
@@ -45,5 +46,10 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` alone, in the types the operators take."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -69,6 +69,11 @@ def test_near_in_many_blocks(spark):
     check_near(spark, copies(2, 3, 70), NearDedup(block=16))
 
 
+def test_near_by_the_bucket(spark):
+    """Families wider than a few blocks meet by the bucket and lose no link either."""
+    check_near(spark, copies(2, 3, 70), NearDedup(block=8, spread=1))
+
+
 def test_near_of_the_tables(spark, documents, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(documents).collect()}
     assert got == brute(texts)

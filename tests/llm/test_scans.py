@@ -12,7 +12,7 @@ import zlib
 import pytest
 
 from cadenza.llm import media as M
-from cadenza.llm.html import align, article_path, blocks, expression, extract, main_text, op6_html_text, parse, wrappers
+from cadenza.llm.html import align, expression, extract, main_text, op6_html_text, parse, wrappers
 from cadenza.llm.secrets import Scan, all_spans, base_spans, find_secrets, redact
 
 from .conftest import ODD, SF
