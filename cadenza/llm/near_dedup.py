@@ -8,7 +8,8 @@
    Only families are looked at further.
 3. Members of a family meet in blocks of ``block`` documents, every pair of
    blocks once, so no candidate pair is lost and no task holds more than two
-   blocks. Signatures are compared ``step`` values at a time; a pair goes as
+   blocks. A family of more than ``spread`` blocks, which chains of candidates
+   may hold together, meets by the bucket instead. Signatures are compared ``step`` values at a time; a pair goes as
    soon as the posterior probability that its similarity reaches the threshold
    is under ``miss``. Survivors are verified on their full shingle sets, the
    most similar first, and pairs already connected are skipped: a task returns
@@ -25,12 +26,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
 from .graph import components
-from .storage import dropped, table, written
+from .storage import keyed_texts, table, written
 
 U64 = np.uint64
 _Q = U64(0xD6E8FEB86659FD93)
@@ -47,6 +48,7 @@ class NearDedup:
     step: int = 16
     miss: float = 1e-6
     block: int = 512
+    spread: int = 8
     seed: int = 20240229
 
     @property
@@ -145,11 +147,11 @@ def _resketch(p: NearDedup):
                 sets = shingles(h, at, p.words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "family", "chunk", "chunks")),
+                        *(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "meets")),
                         pa.array([signature(s, flip, odd).tobytes() for s in sets], pa.binary()),
                         pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "family", "chunk", "chunks", "signature", "shingles"],
+                    names=["doc_id", "meets", "signature", "shingles"],
                 )
 
     return run
@@ -239,6 +241,23 @@ def _verify(p: NearDedup):
     return run
 
 
+_MEETS = "array<struct<task: bigint, side: int>>"
+
+
+def _dealt(placed: DataFrame, p: NearDedup) -> DataFrame:
+    """``doc_id, meets``: the tasks in which a member of ``place``, which has ``n``, meets others.
+
+    Block c of a place meets every other one: as side 0 in tasks (c, d > c), as
+    side 1 in tasks (d < c, c), and itself in (c, c).
+    """
+    many = F.col("n") > p.block
+    number = F.row_number().over(Window.partitionBy("place").orderBy("doc_id"))
+    tall = placed.select("doc_id", "place", F.when(many, F.floor(number / F.lit(p.block))).otherwise(0).cast("int").alias("c"), F.when(many, F.floor(F.col("n") / F.lit(p.block))).otherwise(0).cast("int").alias("last"))
+    task = lambda d: F.xxhash64("place", F.least("c", d), F.greatest("c", d))
+    side = lambda d: F.when(F.col("c") > d, 1).otherwise(0)
+    return tall.select("doc_id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda d: F.struct(task(d).alias("task"), side(d).alias("side"))).cast(_MEETS).alias("meets"))
+
+
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """Component of every document under near-duplicate links.
 
@@ -250,7 +269,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     nothing; its component is null and it is kept. An empty table gives an
     empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = keyed_texts(docs)
     sketch = written(docs.mapInArrow(_sketch(p), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketch")
     known = sketch.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("head"))
@@ -259,25 +278,17 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     least = rows.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v <> most").select("key", "v")
     edges = rows.join(least, "key").select(F.col("doc_id").alias("u"), "v")
     families = written(components(edges), "families")
-    # Members take a number within their family to be dealt into blocks; families are only the candidates, a small part of all rows.
-    from pyspark.sql import Window
-
     size = families.groupBy("component").agg(F.count("*").alias("n"))
-    placed = families.join(size, "component").select(
-        F.col("node").alias("doc_id"),
-        F.col("component").alias("family"),
-        F.when(F.col("n") > p.block, F.floor(F.row_number().over(Window.partitionBy("component").orderBy("node")) / F.lit(p.block))).otherwise(F.lit(0)).cast("int").alias("chunk"),
-        F.when(F.col("n") > p.block, F.floor(F.col("n") / F.lit(p.block)) + 1).otherwise(F.lit(1)).cast("int").alias("chunks"),
-    )
-    members = docs.join(placed.hint("shuffle_hash"), "doc_id").mapInArrow(_resketch(p), "doc_id long, family long, chunk int, chunks int, signature binary, shingles binary")
-    # Block c meets every block: as side 0 of tasks (c, d > c), as side 1 of tasks (d < c, c), and itself in (c, c).
-    meet = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda d: F.struct(F.least("chunk", d).alias("lo"), F.greatest("chunk", d).alias("hi")))
-    tasks = (
-        members.select("*", F.explode(meet).alias("m"))
-        .select("doc_id", "signature", "shingles", F.xxhash64("family", "m.lo", "m.hi").alias("task"), F.when((F.col("m.lo") < F.col("m.hi")) & (F.col("chunk") == F.col("m.hi")), 1).otherwise(0).alias("side"))
-        .repartition("task")
-        .sortWithinPartitions("task")
-    )
+    placed = families.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("place"), "n")
+    wide = F.col("n") > p.block * p.spread
+    meets = _dealt(placed.where(~wide), p)
+    if not size.where(wide).isEmpty():
+        # Members of a wide family meet by the bucket, where they may be few.
+        buckets = rows.join(least.select("key"), "key").join(placed.where(wide).select("doc_id"), "doc_id", "left_semi")
+        counted = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("n")), "key").where("n > 1").select("doc_id", F.col("key").alias("place"), "n")
+        meets = meets.unionByName(_dealt(counted, p).groupBy("doc_id").agg(F.flatten(F.collect_list("meets")).alias("meets")))
+    members = docs.join(meets.hint("shuffle_hash"), "doc_id").mapInArrow(_resketch(p), f"doc_id long, meets {_MEETS}, signature binary, shingles binary")
+    tasks = members.select("doc_id", "signature", "shingles", F.explode("meets").alias("m")).select("doc_id", "signature", "shingles", "m.task", "m.side").repartition("task").sortWithinPartitions("task")
     links = tasks.mapInArrow(_verify(p), "u long, v long")
     linked = components(links)
     heads_of = classes.join(linked.withColumnRenamed("node", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
