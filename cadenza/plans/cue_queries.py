@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions import timecode as C
 from ..operators import align as A
 from ..operators import cues as Q
