@@ -159,32 +159,43 @@ def detected_fit(b: Column, e: Column, w: Column, o: Layout = Layout()) -> Colum
     return (b["width"] >= w * o.min_source_width) & _above(b, e, o) & (G.horizontal_overlap(e, b) >= o.detected_overlap) & (e["y1"] - b["y2"] <= o.detected_max_gap)
 
 
+def gathered(frames: DataFrame, keys: Keys = FRAME, **found: DataFrame) -> DataFrame:
+    """``frames`` with each table of bands (keys, ``b``, ``ord``) as an array in order, empty where a frame has none.
+
+    A frame's rows bound its bands, so the arrays are short; all that follows
+    is then one projection instead of a join per rule.
+    """
+    out = frames
+    none = F.array().cast(f"array<struct<ord: bigint, b: {BOX}>>")
+    for name, bands_ in found.items():
+        rows = bands_.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), F.col("b").cast(BOX).alias("b")))).alias(name))
+        out = out.join(rows, list(keys), "left").withColumn(name, F.coalesce(name, none))
+    return out
+
+
+def _top(bands_: Column, fit) -> Column:
+    """The fitting band with the highest score, of equal ones the first; null without any."""
+    fits = F.filter(bands_, lambda s: F.coalesce(fit(s["b"])[0], F.lit(False)))
+    return F.array_max(F.transform(fits, lambda s: F.struct(fit(s["b"])[1].cast("double").alias("score"), (-s["ord"]).alias("first"), s["b"].alias("b"))))["b"]
+
+
 def primary(frames: DataFrame, originals: DataFrame, finals: DataFrame, keys: Keys = FRAME, o: Layout = Layout()) -> DataFrame:
     """Adds ``primary``, the source box of each frame, and ``confidence``: an original band, else a final one, else the detected box.
 
     ``frames``: keys, ``frame_width``, ``frame_height``, ``e`` (English box), ``detected`` (box or null);
     ``originals`` and ``finals``: keys, ``b``, ``ord``.
     """
+    return chosen(gathered(frames, keys, _originals=originals, _finals=finals), o).drop("_originals", "_finals")
+
+
+def chosen(tall: DataFrame, o: Layout = Layout()) -> DataFrame:
+    """The same for frames that hold their bands as ``_originals`` and ``_finals``."""
     w, h, e, y2 = F.col("frame_width"), F.col("frame_height"), F.col("e"), F.col("detected")["y2"]
-    out = frames
-    for name, found, fit in (("from_original", originals, primary_fit), ("from_final", finals, visual_fit)):
-        both = frames.join(found.select(*keys, "b", "ord"), list(keys))
-        ok, score = fit(F.col("b"), e, w, h, y2, o)
-        top = best(both.where(ok).select(*keys, "b", "ord", score.alias("s")), F.col("s"), keys).select(*keys, F.col("b").alias(name))
-        out = out.join(top, list(keys), "left")
-    seen = F.when(detected_fit(F.col("detected"), e, w, o), F.col("detected"))
-    out = out.withColumn("primary", F.coalesce("from_original", "from_final", seen)).drop("from_original", "from_final")
-    return confidence(out, originals, finals, keys)
-
-
-def confidence(frames: DataFrame, originals: DataFrame, finals: DataFrame, keys: Keys = FRAME) -> DataFrame:
-    """Where a frame's ``primary`` box was seen: an original band like it, a final one, or neither."""
-    out = frames
-    for name, found in (("_o", originals), ("_f", finals)):
-        like = frames.select(*keys, "primary").join(found.select(*keys, "b"), list(keys)).where(G.similar_band(F.col("primary"), F.col("b"))).select(*keys).distinct()
-        out = out.join(like.withColumn(name, F.lit(True)), list(keys), "left")
-    rank = F.when(F.col("primary").isNull(), "none").when(F.col("_o"), "original").when(F.col("_f"), "visual").otherwise("detected")
-    return out.withColumn("confidence", rank).drop("_o", "_f")
+    first = _top(F.col("_originals"), lambda b: primary_fit(b, e, w, h, y2, o))
+    second = _top(F.col("_finals"), lambda b: visual_fit(b, e, w, h, y2, o))
+    out = tall.withColumn("primary", F.coalesce(first, second, F.when(detected_fit(F.col("detected"), e, w, o), F.col("detected"))))
+    like = lambda c: F.exists(F.col(c), lambda s: G.similar_band(F.col("primary"), s["b"]))
+    return out.withColumn("confidence", F.when(F.col("primary").isNull(), "none").when(like("_originals"), "original").when(like("_finals"), "visual").otherwise("detected"))
 
 
 def issues(frames: DataFrame, originals: DataFrame, keys: Keys = FRAME, o: Layout = Layout()) -> DataFrame:
@@ -192,6 +203,11 @@ def issues(frames: DataFrame, originals: DataFrame, keys: Keys = FRAME, o: Layou
 
     ``frames``: keys, ``frame_width``, ``frame_height``, ``e``, ``detected``, ``primary``, ``visible`` (null: unknown).
     """
+    return judged(gathered(frames, keys, _originals=originals), keys, o)
+
+
+def judged(tall: DataFrame, keys: Keys = FRAME, o: Layout = Layout()) -> DataFrame:
+    """The same for frames that hold their original bands as ``_originals``."""
     w, h, e, p = (F.col(c) for c in ("frame_width", "frame_height", "e", "primary"))
     low = F.greatest(F.lit(o.min_gap_px), G.whole(h * F.lit(o.min_gap_ratio)))
     high = F.least(F.lit(o.max_gap_px), G.whole(h * F.lit(o.max_gap_of_height)))
@@ -210,24 +226,23 @@ def issues(frames: DataFrame, originals: DataFrame, keys: Keys = FRAME, o: Layou
         say(paired & (gap >= low) & (gap > high), "English subtitle too far from original Chinese subtitle: gap=", px(gap)),
         say(there & ~F.col("visible"), "English subtitle appears where the original frame has no subtitle evidence"),
     ]
-    head = frames.select(*keys, F.array_compact(F.array(*bad)).alias("bad"), F.array_compact(F.array(*odd)).alias("odd"))
 
-    b = F.col("b")
-    met = frames.where(there).join(originals.select(*keys, "b", "ord"), list(keys)).where(G.horizontal_overlap(e, b) >= o.pair_overlap)
-    over = ~((e["y2"] < b["y1"]) | (e["y1"] > b["y2"]))
-    depth = F.greatest(F.lit(0), F.least(e["y2"], b["y2"]) - F.greatest(e["y1"], b["y1"]))
-    met = met.where(~(over & (b["y1"] >= e["y1"]) & (depth < o.min_vertical_overlap)) & ~(~over & (b["y1"] >= e["y2"])))
-    near = F.least(F.abs(e["y1"] - b["y2"]), F.abs(b["y1"] - e["y2"]))
-    central = F.abs((b["x1"] + b["x2"]) / 2 - w / 2) <= w * o.band_center_tolerance
-    own = over & central & F.coalesce(G.same_band(b, p), F.lit(False))
-    kind = F.when(own & (depth <= o.max_outline_overlap), 1).when(own, 2).when(over | (near < low), 3)
-    text = F.when(own, F.concat(F.lit("English subtitle too close to original subtitle/text band: gap="), px(near))).otherwise(F.concat(F.lit("English subtitle near non-primary text band: gap="), px(near)))
-    told = met.select(*keys, "ord", kind.alias("kind"), text.alias("message")).where("kind IS NOT NULL")
-    listed = lambda ok: F.transform(F.sort_array(F.collect_list(F.when(ok, F.struct("ord", "message")))), lambda s: s["message"])
-    tail = told.groupBy(*keys).agg(listed(F.col("kind") == 2).alias("more_bad"), listed(F.col("kind") != 2).alias("more_odd"))
-    none = F.array().cast("array<string>")
-    out = head.join(tail, list(keys), "left")
-    out = out.select(*keys, F.concat("bad", F.coalesce("more_bad", none)).alias("issues"), F.concat("odd", F.coalesce("more_odd", none)).alias("warnings"))
+    def told(s: Column) -> Column:
+        """1: a warning, 2: an issue, null: nothing; with its message."""
+        b = s["b"]
+        over = ~((e["y2"] < b["y1"]) | (e["y1"] > b["y2"]))
+        depth = F.greatest(F.lit(0), F.least(e["y2"], b["y2"]) - F.greatest(e["y1"], b["y1"]))
+        spared = (G.horizontal_overlap(e, b) < o.pair_overlap) | (over & (b["y1"] >= e["y1"]) & (depth < o.min_vertical_overlap)) | (~over & (b["y1"] >= e["y2"]))
+        near = F.least(F.abs(e["y1"] - b["y2"]), F.abs(b["y1"] - e["y2"]))
+        central = F.abs((b["x1"] + b["x2"]) / 2 - w / 2) <= w * o.band_center_tolerance
+        own = over & central & F.coalesce(G.same_band(b, p), F.lit(False))
+        kind = F.when(own, F.when(depth <= o.max_outline_overlap, 1).otherwise(2)).when(over | (near < low), 1)
+        text = F.when(own, "English subtitle too close to original subtitle/text band: gap=").otherwise("English subtitle near non-primary text band: gap=")
+        return F.struct(F.when(there & ~spared, kind).alias("kind"), F.concat(text, px(near)).alias("message"))
+
+    found = tall.select(*keys, F.array_compact(F.array(*bad)).alias("bad"), F.array_compact(F.array(*odd)).alias("odd"), F.transform("_originals", told).alias("told"))
+    listed = lambda kind: F.transform(F.filter("told", lambda t: t["kind"] == kind), lambda t: t["message"])
+    out = found.select(*keys, F.concat("bad", listed(2)).alias("issues"), F.concat("odd", listed(1)).alias("warnings"))
     return out.withColumn("passed", F.size("issues") == 0)
 
 

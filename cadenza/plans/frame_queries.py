@@ -151,7 +151,7 @@ qc AS (SELECT g.video_id, g.frame_id,
 
 def _reports(spark, d):
     frames, originals, finals = _frames(spark, d)
-    return B.issues(B.primary(frames, originals, finals), originals)
+    return B.judged(B.chosen(B.gathered(frames, _originals=originals, _finals=finals)))
 
 
 @query("f31_frame_issues", f"WITH {_QC} SELECT frame_id, array_to_string(issues, '|') AS issues, array_to_string(warnings, '|') AS warnings, len(issues) = 0 AS passed FROM qc")
