@@ -105,19 +105,20 @@ def link(calls: DataFrame, results: DataFrame, tools: Tools) -> DataFrame:
     results = results.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("call_id").cast("string").alias("call_id"), F.col("content").cast("string").alias("content"))
     whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     key = F.concat_ws("\x00", F.col("conv_id").cast("string"), "call_id")
-    keyed = calls.withColumn("parsed", F.try_parse_json("arguments")).withColumn("k", F.when(whole, key))
+    keyed = written(calls.withColumn("k", F.when(whole, key)), "calls")
     # The first row of an id, found by a combinable minimum; equal rows share it and are told apart by a count.
-    first = keyed.where("k IS NOT NULL").groupBy("k").agg(F.min(F.struct("seq", "name", "arguments")).alias("first"), F.count("*").alias("n"))
+    first = written(keyed.where("k IS NOT NULL").groupBy("k").agg(F.min(F.struct("seq", "name", "arguments")).alias("first"), F.count("*").alias("n")), "first-calls")
+    keyed = keyed.withColumn("parsed", F.try_parse_json("arguments"))
     heads = first.select("k", "first.*")
     after = F.coalesce(F.try_variant_get(F.try_parse_json("arguments"), f"$['{tools.after}']", "array<string>"), F.array().cast("array<string>"))
     conv = F.substring_index("k", "\x00", 1)
     wanted = heads.select("k", F.explode(F.array_distinct(F.array_compact(after))).alias("p")).select("k", F.concat_ws("\x00", conv, "p").alias("parent"))
-    there = wanted.join(heads.select(F.col("k").alias("parent"), F.lit(True).alias("there")), "parent", "left")
+    there = written(wanted.join(heads.select(F.col("k").alias("parent"), F.lit(True).alias("there")), "parent", "left"), "waits")
     dangling = there.where("there IS NULL").groupBy("k").agg(F.count("*").alias("dangling"))
     level = written(levels(heads.select("k"), there.where("there").select("k", "parent")), "levels")
 
-    result = results.withColumn("k", F.when(whole, key))
-    first_result = result.where("k IS NOT NULL").groupBy("k").agg(F.min(F.struct("seq", "content")).alias("r"), F.count("*").alias("n_results"))
+    result = written(results.withColumn("k", F.when(whole, key)), "results")
+    first_result = written(result.where("k IS NOT NULL").groupBy("k").agg(F.min(F.struct("seq", "content")).alias("r"), F.count("*").alias("n_results")), "first-results")
     base = heads.join(first_result, "k", "left").join(level, "k", "left").join(dangling, "k", "left")
     rows = base.select("k", conv.cast("long").alias("conv_id"), F.expr("substring(k, instr(k, '\x00') + 1)").alias("call_id"), "seq", "name", F.try_parse_json("arguments").alias("parsed"), F.col("r.content").alias("content"), F.col("r").isNotNull().alias("answered"), "level", F.coalesce("dangling", F.lit(0)).alias("dangling"))
     placed = _positions(rows, tools.stretch)
@@ -126,21 +127,28 @@ def link(calls: DataFrame, results: DataFrame, tools: Tools) -> DataFrame:
     status = F.when(F.col("level").isNull(), "cycle").when(~F.col("answered"), "pending").when(F.size("errors") > 0, "invalid").otherwise("ok")
     kept = _said(placed.withColumn("status", status))
 
-    # What is left over: repeated calls, calls without an id, results without a call.
+    # What is left over: repeated calls, calls without an id, results without a call. Branches for rows that are not there are not planned.
+    out = kept
     none = {c: F.lit(None).cast(t) for c, t in (("position", "long"), ("level", "long"), ("content", "string"))}
-    twice = keyed.join(first.select("k", F.col("first").alias("f"), "n"), "k", "left")
-    same = F.struct("seq", "name", "arguments").eqNullSafe(F.col("f"))
-    extra = twice.where(F.col("k").isNull() | ~same).select("conv_id", "call_id", "name", "parsed", F.when(F.col("k").isNull(), "pending").otherwise("repeated").alias("status"))
-    copies = first.where("n > 1").join(keyed.where("k IS NOT NULL"), "k").where(F.struct("seq", "name", "arguments").eqNullSafe(F.col("first"))).groupBy("k").agg(F.count("*").alias("c"), F.first("conv_id").alias("conv_id"), F.first("call_id").alias("call_id"), F.first("name").alias("name"), F.first("arguments").alias("arguments"))
-    copies = copies.where("c > 1").select("conv_id", "call_id", "name", F.try_parse_json("arguments").alias("parsed"), F.lit("repeated").alias("status"), F.explode(F.sequence(F.lit(2), F.col("c"))).alias("again")).drop("again")
-    spare = _said(extra.unionByName(copies).withColumns(none).withColumn("errors", _errors(tools)))
-    seen = first_result.select("k", "r").join(heads.select("k"), "k", "left_semi")
-    lone = result.join(seen, "k", "left").where(F.col("r").isNull() | ~F.struct("seq", "content").eqNullSafe(F.col("r")))
-    again = first_result.where("n_results > 1").join(heads.select("k"), "k", "left_semi").join(result.where("k IS NOT NULL"), "k").where(F.struct("seq", "content").eqNullSafe(F.col("r"))).groupBy("k").agg(F.count("*").alias("c"), F.first("conv_id").alias("conv_id"), F.first("call_id").alias("call_id"), F.first("content").alias("content"))
-    again = again.where("c > 1").select("conv_id", "call_id", "content", F.explode(F.sequence(F.lit(2), F.col("c"))).alias("i")).drop("i")
-    orphans = lone.select("conv_id", "call_id", "content").unionByName(again)
-    orphans = _said(orphans.select("conv_id", "call_id", "content", F.lit(None).cast("string").alias("name"), F.lit(None).cast("variant").alias("parsed"), F.lit("orphan").alias("status"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("level"), F.array().cast("array<string>").alias("errors")))
-    return kept.unionByName(spare).unionByName(orphans)
+    twice = not first.where("n > 1").isEmpty()
+    row = F.struct("seq", "name", "arguments")
+    if twice or not keyed.where("k IS NULL").isEmpty():
+        spare = keyed.join(first.select("k", "first"), "k", "left").where(F.col("k").isNull() | ~row.eqNullSafe(F.col("first")))
+        spare = spare.select("conv_id", "call_id", "name", "parsed", F.when(F.col("k").isNull(), "pending").otherwise("repeated").alias("status"))
+        if twice:
+            same = first.where("n > 1").join(keyed, "k").where(row.eqNullSafe(F.col("first")))
+            same = same.groupBy("k").agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("conv_id", "call_id", "name", "arguments"))).where("c > 1")
+            spare = spare.unionByName(same.select("conv_id", "call_id", "name", F.try_parse_json("arguments").alias("parsed"), F.lit("repeated").alias("status"), F.explode(F.sequence(F.lit(2), F.col("c"))).alias("again")).drop("again"))
+        out = out.unionByName(_said(spare.withColumns(none).withColumn("errors", _errors(tools))))
+    answer = F.struct("seq", "content")
+    seen = first_result.join(heads.select("k"), "k", "left_semi")
+    lone = result.join(seen.select("k", "r"), "k", "left").where(F.col("r").isNull() | ~answer.eqNullSafe(F.col("r"))).select("conv_id", "call_id", "content")
+    if not first_result.where("n_results > 1").isEmpty():
+        same = seen.where("n_results > 1").join(result, "k").where(answer.eqNullSafe(F.col("r")))
+        same = same.groupBy("k").agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("conv_id", "call_id", "content"))).where("c > 1")
+        lone = lone.unionByName(same.select("conv_id", "call_id", "content", F.explode(F.sequence(F.lit(2), F.col("c"))).alias("again")).drop("again"))
+    lone = lone.select("*", F.lit(None).cast("string").alias("name"), F.lit(None).cast("variant").alias("parsed"), F.lit("orphan").alias("status"), none["position"].alias("position"), none["level"].alias("level"), F.array().cast("array<string>").alias("errors"))
+    return out.unionByName(_said(lone))
 
 
 def _positions(rows: DataFrame, stretch: int) -> DataFrame:
