@@ -166,6 +166,14 @@ def expression(node: Node, link: bool = False) -> list:
     return [node.label, False, False, sum(k[3] for k in kids), sum(k[4] for k in kids), None, kids]
 
 
+def pattern(wrapper: list) -> str:
+    """The expression as text: ``(...)?`` optional, ``(...)+`` repeated, ``#`` a slot, shared texts as they are."""
+    label, optional, repeated, _, _, shared, kids = wrapper
+    inner = "".join(map(pattern, kids))
+    own = (shared or "#") if label == "#" else f"<{label}>{inner}</{label}>" if label else inner
+    return f"({own})" + ("*" if optional and repeated else "+" if repeated else "?") if optional or repeated else own
+
+
 def _out(label: str) -> bool:
     tag, *names = label.split(".")
     return tag in LEFT_OUT or (tag not in ("body", "html", *MAIN) and not NAMED_OUT.isdisjoint(names))

@@ -12,7 +12,7 @@ import zlib
 import pytest
 
 from cadenza.llm import media as M
-from cadenza.llm.html import align, expression, extract, main_text, op6_html_text, parse, wrappers
+from cadenza.llm.html import align, expression, extract, main_text, op6_html_text, parse, pattern, wrappers
 from cadenza.llm.secrets import Scan, all_spans, base_spans, find_secrets, redact
 
 from .conftest import ODD, SF
@@ -153,6 +153,7 @@ def test_alignment_makes_optional_repeated_and_slots():
     assert kinds == {"h1": (False, False), "img": (True, False), "p": (False, True)}
     h1, p = (next(n for n in div[6] if n[0] == t) for t in ("h1", "p"))
     assert h1[6][0][5] == "same" and p[6][0][5] is None
+    assert pattern(div) == "<div><h1>same</h1>(<img></img>)?(<p>#</p>)+</div>"
 
 
 def test_host_wrapper_finds_what_is_not_named(spark):
