@@ -40,13 +40,15 @@ _K = U64(0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class Ngrams:
-    """bucket_bytes: input for each bucket. gather: bigrams a task holds before it passes them on."""
+    """bucket_bytes: input for each bucket, more where the buckets, each two mapped files, would be over most_buckets.
+    gather: bigrams a task holds before it passes them on."""
 
-    bucket_bytes: int = 8 << 20
+    bucket_bytes: int = 4 << 20
     least_buckets: int = 48
-    gather: int = 4 << 20
+    most_buckets: int = 1 << 14
+    gather: int = 2 << 20
     sketch: int = 1 << 17
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
 
 
 def tokens(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,18 +216,23 @@ def _words(folder: str):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         k = key[0].as_py()
         blobs = t.column("data").to_pylist()
+        stats = dict.fromkeys(_STATS, 0)
         if k < 0:
-            stats = {"pairs": np.sum([json.loads(x) for x in blobs], axis=0).tolist()}
+            stats |= zip(_STATS[:4], np.sum([json.loads(x) for x in blobs], axis=0).tolist(), strict=True)
         else:
             parts = [_unpack(x, _WORDS) for x in blobs]
             h, *v = _summed(np.concatenate([x[0] for x in parts]), *(np.concatenate([_large(*x[i : i + 3]) for x in parts]) for i in range(1, 19, 3)))
             _save(folder, f"words-{k}", [h, *(a for x in v for a in _small(x))])
-            stats = {"tokens": int(v[0].sum()), "types": int((v[0] > 0).sum()), "conts": _classes(v[1]), "links": int(v[1].sum()), "more": int((v[1] > 2).sum())}
-        return pa.table({"stats": pa.array([json.dumps(stats)], pa.string())})
+            stats |= zip(_STATS[4:], (*_classes(v[1]), int(v[0].sum()), int((v[0] > 0).sum()), int(v[1].sum()), int((v[1] > 2).sum())), strict=True)
+        return pa.table({c: pa.array([n], pa.int64()) for c, n in stats.items()})
 
     return run
 
 
+#: Pairs and words by count 1 to 4, tokens, types, distinct pairs, words with more than two left neighbours.
+_STATS = (*(f"pairs_{k}" for k in range(1, 5)), *(f"conts_{k}" for k in range(1, 5)), "tokens", "types", "links", "more")
+
+
 def _discounts(n: list[int]) -> list[float]:
     """The three discounts from the counts of counts; where those are too few for an estimate, none exceeds its count."""
     n1, n2, n3, n4 = n
@@ -262,7 +269,7 @@ def fit(docs: DataFrame, p: Ngrams = Ngrams()) -> Model:
     spark = docs.sparkSession
     folder = _local(new_path(spark, "ngrams"))
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n = max(p.least_buckets, min(1 << 15, size // p.bucket_bytes))
+    n = max(p.least_buckets, min(p.most_buckets, size // p.bucket_bytes))
     texts = docs.select("text")
     slots = {r["slot"]: r["n"] for r in texts.mapInArrow(_sketch(p), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}  # at most p.sketch rows
     whole = slots.pop(-1, 0)
@@ -270,14 +277,11 @@ def fit(docs: DataFrame, p: Ngrams = Ngrams()) -> Model:
     hot[[s for s, c in slots.items() if c * 8 * n > whole]] = True
     pairs = texts.mapInArrow(_count(p, hot, n), "bucket int, data binary")
     words = pairs.groupBy("bucket").applyInArrow(_merge(folder, n), "bucket int, data binary")
-    stats = [json.loads(r["stats"]) for r in words.groupBy("bucket").applyInArrow(_words(folder), "stats string").collect()]  # one row a bucket
-    pair_counts = next((s["pairs"] for s in stats if "pairs" in s), [0] * 4)
-    rows = [s for s in stats if "tokens" in s]
-    conts = np.sum([s["conts"] for s in rows], axis=0).tolist() if rows else [0] * 4
-    links, types = sum(s["links"] for s in rows), sum(s["types"] for s in rows)
+    sums = words.groupBy("bucket").applyInArrow(_words(folder), ", ".join(f"{c} long" for c in _STATS)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS)).first()
+    pair_counts, conts = ([sums[f"{t}_{k}"] for k in range(1, 5)] for t in ("pairs", "conts"))
     d = _discounts(conts)
-    spare = (d[0] * conts[0] + d[1] * conts[1] + d[2] * sum(s["more"] for s in rows)) / links if links else 1.0
-    return Model(folder, n, hot, sum(s["tokens"] for s in rows), types, tuple(_discounts(pair_counts)), tuple(d), links, spare / (types + 1))
+    spare = (d[0] * conts[0] + d[1] * conts[1] + d[2] * sums["more"]) / sums["links"] if sums["links"] else 1.0
+    return Model(folder, n, hot, sums["tokens"], sums["types"], tuple(_discounts(pair_counts)), tuple(d), sums["links"], spare / (sums["types"] + 1))
 
 
 class _Mapped:
@@ -316,7 +320,7 @@ def _lookup(h: np.ndarray, deal: np.ndarray, files: str, types: tuple, columns:
     for lo, hi in zip(cuts, [*cuts[1:], len(h)], strict=True):
         k = int(sorted_deal[lo])
         if (files, k) not in opened:
-            if len(opened) > 4096:
+            if len(opened) >= 2 * 16_384:  # what one process may map is bounded
                 opened.clear()
             opened[files, k] = _Mapped(f"{files}-{k}", types)
         m, rows = opened[files, k], order[lo:hi]
