@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .quality import fold
-from .storage import new_path, table
+from .storage import keyed_texts, new_path, table
 
 U64 = np.uint64
 END, START = U64(0x9B1C0DE50F7EA701), U64(0x57A70DE50F7EA703)
@@ -388,7 +388,7 @@ def score_held_out(docs: DataFrame, p: Ngrams = Ngrams()) -> DataFrame:
     is its end alone; an empty table gives an empty result, and with nothing to
     learn from every token has the same chance; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 5) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
+    docs = keyed_texts(docs).withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
     return score(docs, fit(docs.where(~F.col("held_out")), p), p)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .storage import keyed_texts, table
+from .storage import keyed_texts, spread, table
 
 U64 = np.uint64
 
@@ -230,6 +230,7 @@ def fitted(docs: DataFrame, labels: DataFrame, p: Quality = Quality()):
     come first by a hash of their id are.
     """
     spark = docs.sparkSession
+    docs = spread(docs)
     vectors = word_vectors(docs, p)
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where((fold(F.col("doc_id"), 3) != 1) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     use = use.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(p.sample)
@@ -245,7 +246,7 @@ def scored(docs: DataFrame, model, p: Quality = Quality()) -> DataFrame:
     """``docs`` with the model's ``score``; a column of that name is replaced. A null or empty text has a score too."""
     keep = [c for c in docs.columns if c != "score"]
     types = dict(docs.dtypes)
-    return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(_score(model, p, keep), ", ".join(f"`{c}` {types[c]}" for c in keep) + ", score double")
+    return spread(docs).select(*(f"`{c}`" for c in keep)).mapInArrow(_score(model, p, keep), ", ".join(f"`{c}` {types[c]}" for c in keep) + ", score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: Quality = Quality()) -> DataFrame:

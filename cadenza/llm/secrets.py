@@ -22,7 +22,7 @@ from urllib.parse import unquote_to_bytes
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .storage import keyed_texts, table
+from .storage import keyed_texts, spread, table
 
 #: Kinds in rank order, their patterns, and the least length of what is kept.
 KINDS = ("assign", "access", "hex")
@@ -260,7 +260,7 @@ def redact(docs: DataFrame, scan: Scan = Scan(), mark: str = "[secret]") -> Data
             columns[at] = pa.array(done, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
