@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.exact_dedup import exact_duplicates
-from cadenza.llm.near_dedup import near_duplicates
+from cadenza.llm.near_dedup import NearDedup, near_duplicates
 from cadenza.llm.packing import pack
 from cadenza.llm.quality import fitted, scored
 from cadenza.llm.secrets import redact
@@ -33,8 +33,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id goes on."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id")
+    """Of each group of texts that link at a shingle similarity of 0.8 or more the smallest id goes on."""
+    gone = near_duplicates(docs, NearDedup(percent=80)).where("NOT kept").select("doc_id")
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
