@@ -38,6 +38,7 @@ ENDS_P = BLOCK - {"body", "html", "caption", "dd", "dt", "li", "tbody", "tfoot",
 CLOSES = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr td th", frozenset(("table",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))), "option": ("option", frozenset(("select",)))}
 MAIN = frozenset("article main".split())
 NAMED_MAIN = frozenset("article main content post entry story".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>?", re.I) for tag in RAW}
 _INLINE_TOP = frozenset(("article", "section", "div", "main", "body", "td", "table", "blockquote", "nav", "header", "footer", "aside", "form"))
 
 
@@ -62,7 +63,7 @@ def _label(tag: str, attributes: str) -> str:
 def parse(html: str) -> Node:
     """Nested groups of a page; end tags may be missing, misplaced or left over."""
     root = Node("", "")
-    stack, at, raw = [root], 0, None
+    stack, at = [root], 0
 
     def say(text: str) -> None:
         if text and not text.isspace():
@@ -70,12 +71,7 @@ def parse(html: str) -> Node:
         elif text and stack[-1].children:
             stack[-1].children.append(Node(" ", " ", " "))
 
-    for m in _TOKEN.finditer(html):
-        if raw:
-            if not (m[1] and m[2].lower() == raw):
-                continue
-            at, raw = m.end(), None
-            continue
+    while m := _TOKEN.search(html, at):
         say(html[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -107,11 +103,12 @@ def parse(html: str) -> Node:
         node = Node(tag, _label(tag, m[3]))
         stack[-1].children.append(node)
         if tag in RAW and not m[4]:
-            raw = tag
+            # What a raw element holds is no markup: its own end tag comes next, or none does.
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
         elif tag not in VOID and not m[4]:
             stack.append(node)
-    if not raw:
-        say(html[at:])
+    say(html[at:])
     return root
 
 
