@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .storage import spread, table, written
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 #: Elements by what HTML makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +35,11 @@ BLOCK = frozenset("address article blockquote body caption center dd details dia
 APART = frozenset("td th br".split())
 LEFT_OUT = frozenset("head nav header footer aside form button select option input label script style noscript template textarea title svg math iframe object dialog menu".split())
 NAMED_OUT = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended notice notices cookie cookies consent alert popup modal newsletter subscribe signup share sharing social comment comments respond replies disqus pagination pager toolbar".split())
+#: Only these give way to a name; headings, paragraphs, cells and inline elements never do.
+NAMEABLE = frozenset("div section ul ol dl table details center".split())
+#: A compound name counts by its head word: what follows it may be one of TAIL, and none of WITH stands in it.
+TAIL = frozenset("area bar block box button buttons container form inner item items left link links list outer posts right row section wrap wrapper".split())
+WITH = frozenset("with without has have no".split())
 ENDS_P = BLOCK - {"body", "html", "caption", "dd", "dt", "li", "tbody", "tfoot", "thead", "tr"} | {"nav", "header", "footer", "aside", "form", "menu"}
 CLOSES = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr td th", frozenset(("table",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))), "option": ("option", frozenset(("select",)))}
 MAIN = frozenset("article main".split())
@@ -43,7 +49,7 @@ _INLINE_TOP = frozenset(("article", "section", "div", "main", "body", "td", "tab
 
 
 class Node:
-    """label: tag and the words of its class, id and role. text: of a text node."""
+    """label: tag and the names of its class, id and role, words of a name joined by '-'. text: of a text node."""
 
     __slots__ = ("children", "label", "tag", "text")
 
@@ -54,10 +60,13 @@ class Node:
 def _label(tag: str, attributes: str) -> str:
     if not attributes:
         return tag
-    words = []
+    names = []
     for m in _ATTRIBUTE.finditer(attributes):
-        words += re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2]).lower())
-    return ".".join([tag, *dict.fromkeys(words)])
+        if m[2] and m[1].lower() in ("class", "id", "role"):
+            for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2].strip("\"'")).lower().split():
+                names.append("-".join(re.findall(r"[a-z]+", name)))
+    return ".".join([tag, *dict.fromkeys(filter(None, names))])
+
 
 
 def parse(html: str) -> Node:
@@ -171,26 +180,51 @@ def pattern(wrapper: list) -> str:
     return f"({own})" + ("*" if optional and repeated else "+" if repeated else "?") if optional or repeated else own
 
 
+def _named_out(name: str) -> bool:
+    if name in NAMED_OUT:
+        return True
+    words = name.split("-")
+    if len(words) == 1 or not WITH.isdisjoint(words):
+        return False
+    while len(words) > 1 and words[-1] in TAIL:
+        words.pop()
+    # The header of a part may hold its title.
+    return words[-1] in NAMED_OUT and words[-1] != "header"
+
+
+def _words(label: str) -> set[str]:
+    return {w for name in label.split(".")[1:] for w in name.split("-")}
+
+
+@lru_cache(1 << 16)
 def _out(label: str) -> bool:
     tag, *names = label.split(".")
-    return tag in LEFT_OUT or (tag not in ("body", "html", *MAIN) and not NAMED_OUT.isdisjoint(names))
+    return tag in LEFT_OUT or ((tag in NAMEABLE or "-" in tag) and any(map(_named_out, names)))
 
 
 def article_path(wrapper: list) -> list[str] | None:
     """Labels from the root to the group that holds the article."""
 
-    def search(node: list, path: list[str], wanted) -> list[str] | None:
+    def search(node: list, path: list[str], wanted, out) -> list | None:
         level = [(node, path)]
         while level:
             for n, p in level:
                 if p and wanted(n):
-                    return p
-            level = [(k, [*p, k[0]]) for n, p in level for k in n[6] if k[0] != "#" and not _out(k[0])]
+                    return [n, p]
+            level = [(k, [*p, k[0]]) for n, p in level for k in n[6] if k[0] != "#" and not out(k[0])]
         return None
 
-    for wanted in (lambda n: n[0].split(".")[0] == "article", lambda n: n[0].split(".")[0] == "main" or "main" in n[0].split(".")[1:], lambda n: n[0].split(".")[0] in ("div", "section", "td") and not NAMED_MAIN.isdisjoint(n[0].split(".")[1:]) and n[3] > 2 * n[4]):
-        if found := search(wrapper, [], wanted):
-            return found
+    tag = lambda n: n[0].split(".")[0]
+    article = lambda n: tag(n) == "article"
+    main = lambda n: tag(n) == "main" or "main" in _words(n[0])
+    for wanted in (article, main, lambda n: tag(n) in ("div", "section", "td") and not NAMED_MAIN.isdisjoint(_words(n[0])) and n[3] > 2 * n[4]):
+        if found := search(wrapper, [], wanted, _out):
+            return found[1]
+    # A container of any name stays if it holds the article, which is more than a teaser.
+    for wanted in (article, main):
+        found = search(wrapper, [], wanted, lambda label: label.split(".")[0] in LEFT_OUT)
+        if found and 2 * (found[0][3] - found[0][4]) >= wrapper[3] - wrapper[4]:
+            return found[1]
     # None is named: go down as long as one group holds most of the letters that are no links.
     own = lambda n: 0 if _out(n[0]) else n[3] - n[4] if n[0] == "#" or not n[6] else sum(own(k) for k in n[6])
     node, path = wrapper, []

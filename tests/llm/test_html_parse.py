@@ -19,3 +19,20 @@ def test_raw_elements_end_at_their_own_end_tag(head):
 
 def test_a_raw_element_without_end_reaches_to_the_end():
     assert main_text("<article><p>kept</p><script>i<n <p>x</p></article>", None) == "kept"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><h2 id='related-work'>Related</h2><p>a</p><h2 class='section-header'>H</h2><p id='notice-period'>n</p></article>", "Related\na\nH\nn"),
+        ("<div class='layout with-sidebar'><article><p>a</p></article></div>", "a"),
+        ("<div class='layout with-sidebar'><p>a</p></div>", "a"),
+        ("<div class='sidebar widget'><article><p>a long text of the page</p></article></div>", "a long text of the page"),
+        ("<div class='related'><article><p>card</p></article></div><div id=c1><p>the long text of the page itself</p></div>", "the long text of the page itself"),
+        ("<article><div data-id='share' data-class=menu aria-role='banner'><p>a</p></div></article>", "a"),
+        ("<article><div class='entry-header'><h1>T</h1></div><div class='related-work'><p>a</p></div><p class=ad>b <span class=share>c</span></p></article>", "T\na\nb c"),
+        ("<article><p>a</p><div class='related-posts'>r</div><div class='shareButtons'>s</div><div CLASS=\"x Cookie-Notice\">c</div><ul id=comment-list><li>k</ul></article>", "a"),
+    ],
+)
+def test_names_leave_out_containers_only(page, text):
+    assert main_text(page, None) == text
