@@ -32,8 +32,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _LEAST = 8, 16, 32
 
-_PERCENT = re.compile(r"(?:[^\s%]*%[0-9A-Fa-f]{2})+[^\s%]*")
-_ESCAPED = re.compile(r"(?:[^\s\\]*\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}))+[^\s\\]*")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|((?:\\x[0-9A-Fa-f]{2})+)")
 _ONE_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -69,34 +67,33 @@ class _Layer:
         return (self.start, self.end) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
 
-def _spliced(layer: _Layer | None, region: re.Match, inner: re.Pattern, decode) -> _Layer | None:
-    """The region with its escapes replaced, each character mapped."""
-    text, starts, ends, last = [], [], [], region.start()
-    place = layer.place if layer else lambda a, b: (a, b)
-    whole = region.string
+def _spliced(layer: _Layer, inner: re.Pattern, decode) -> _Layer | None:
+    """The whole layer with its escapes replaced, each character mapped."""
+    whole, last = layer.text, 0
+    text: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
 
     def plain(a: int, b: int) -> None:
-        for k in range(a, b):
-            s, e = place(k, k + 1)
-            text.append(whole[k])
-            starts.append(s)
-            ends.append(e)
+        nonlocal starts, ends
+        text.append(whole[a:b])
+        starts += [layer.start] * (b - a) if layer.starts is None else layer.starts[a:b]
+        ends += [layer.end] * (b - a) if layer.ends is None else layer.ends[a:b]
 
-    for m in inner.finditer(whole, region.start(), region.end()):
+    for m in inner.finditer(whole):
         got = decode(m)
         if got is None:
             continue
         plain(last, m.start())
-        s, e = place(*m.span())
+        s, e = layer.place(*m.span())
         text.append(got)
         starts += [s] * len(got)
         ends += [e] * len(got)
         last = m.end()
-    if last == region.start():
+    if not last:
         return None
-    plain(last, region.end())
-    s, e = place(*region.span())
-    return _Layer("".join(text), s, e, starts, ends)
+    plain(last, len(whole))
+    return _Layer("".join(text), layer.start, layer.end, starts, ends)
 
 
 def _percent(m: re.Match) -> str | None:
@@ -163,14 +160,10 @@ def _base64(run: str) -> bytes | None:
 
 def _unwrapped(layer: _Layer, scan: Scan) -> Iterator[_Layer]:
     text = layer.text
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            if got := _spliced(layer, m, _ONE_PERCENT, _percent):
-                yield got
-    if "\\" in text:
-        for m in _ESCAPED.finditer(text):
-            if got := _spliced(layer, m, _ONE_ESCAPE, _escape):
-                yield got
+    if "%" in text and (got := _spliced(layer, _ONE_PERCENT, _percent)):
+        yield got
+    if "\\" in text and (got := _spliced(layer, _ONE_ESCAPE, _escape)):
+        yield got
     for m in _BASE64.finditer(text):
         if m.end() - m.start() < scan.least:
             continue
