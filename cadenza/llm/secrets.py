@@ -5,12 +5,14 @@ A worklist holds layers: the text itself, then whatever its URL escapes,
 layer is scanned with the same patterns and searched for further encodings
 until nothing new appears; a layer seen before ends its branch, so cycles stop.
 Every layer carries, for each of its characters, the span of the original text
-it came from; a compressed or base64 layer maps to the run that held it.
+it came from; a base64 layer maps to the run that held it, a compressed one to
+the bytes it was packed in. Bytes that are no UTF-8 are read as Latin-1, one
+character a byte, so compressed bytes and wide characters are found in any
+layer, wherever they begin.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -34,7 +36,14 @@ _LEAST = 8, 16, 32
 
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|((?:\\x[0-9A-Fa-f]{2})+)")
 _ONE_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE_END = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
+#: gzip, zlib, bzip2 and xz streams; characters of two bytes.
+_MAGIC = re.compile("\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+_WIDE = re.compile("(?:[\x01-\xff]\x00){4,}|(?:\x00[\x01-\xff]){4,}")
+#: What a layer of odd bytes needs to be looked at.
+_WORTH = re.compile(rf"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{{32}}|%[0-9A-Fa-f]{{2}}|\\[ux]|[A-Za-z0-9+/_-]{{16}}|{_MAGIC.pattern}|{_WIDE.pattern}")
 
 
 @dataclass(frozen=True)
@@ -100,6 +109,18 @@ def _percent(m: re.Match) -> str | None:
     return unquote_to_bytes(m[0]).decode("utf-8", "replace")
 
 
+def _percent_bytes(m: re.Match) -> str | None:
+    return unquote_to_bytes(m[0]).decode("latin-1")
+
+
+def _escape_bytes(m: re.Match) -> str | None:
+    return bytes.fromhex(m[3].replace("\\x", "")).decode("latin-1") if m[3] else _escape(m)
+
+
+def _narrow(m: re.Match) -> str | None:
+    return m[0].replace("\0", "")
+
+
 def _escape(m: re.Match) -> str | None:
     if m[1]:
         n = int(m[1], 16)
@@ -109,7 +130,7 @@ def _escape(m: re.Match) -> str | None:
     return bytes.fromhex(m[3].replace("\\x", "")).decode("utf-8", "replace")
 
 
-def _unzipped(raw: bytes, scan: Scan) -> Iterator[bytes]:
+def _unzipped(raw: memoryview, scan: Scan) -> Iterator[bytes]:
     """What gzip, zlib or bzip2/xz bytes hold, in parts that overlap."""
     if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
         d = zlib.decompressobj(47)
@@ -140,41 +161,76 @@ def _unzipped(raw: bytes, scan: Scan) -> Iterator[bytes]:
             raise
 
 
-def _readable(raw: bytes) -> str | None:
+def _packed(raw: memoryview) -> int:
+    """Length of the stream that ``raw`` begins with; all of it where the stream has no end."""
+    if raw[:1] == b"B":
+        import bz2
+
+        d = bz2.BZ2Decompressor()
+    elif raw[:1] == b"\xfd":
+        import lzma
+
+        d = lzma.LZMADecompressor()
+    else:
+        d = zlib.decompressobj(47)
+    at = 0
+    try:
+        while at < len(raw) and not d.eof:
+            d.decompress(raw[at : at + 4096])
+            at += 4096
+    except Exception:  # broken off: whatever came before was unpacked from here
+        return min(at + 4096, len(raw))
+    return min(at, len(raw)) - len(d.unused_data)
+
+
+def _texts(raw: bytes, every: bool = False) -> Iterator[str]:
+    """``raw`` as UTF-8 or else Latin-1, where it reads like a text or holds anything to find."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if not text or sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text) else None
+        text = raw.decode("latin-1")
+        if every or _WORTH.search(text):
+            yield text
+        return
+    if every or sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text) or _WORTH.search(text):
+        yield text
+    if not text.isascii() and _MAGIC.search(wide := raw.decode("latin-1")):
+        yield wide
 
 
-def _base64(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _base64(run: str, scan: Scan) -> Iterator[bytes]:
+    """The run decoded from each of four offsets, as other characters may be joined to its front."""
+    body = _LINE_END.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) < scan.least:
+        return
+    for at in range(4):
+        part = body[at : len(body) - ((len(body) - at) % 4 == 1)]
+        yield binascii.a2b_base64(part + "=" * (-len(part) % 4))
 
 
 def _unwrapped(layer: _Layer, scan: Scan) -> Iterator[_Layer]:
     text = layer.text
-    if "%" in text and (got := _spliced(layer, _ONE_PERCENT, _percent)):
+    for sign, inner, decode, as_bytes in (("%", _ONE_PERCENT, _percent, _percent_bytes), ("\\", _ONE_ESCAPE, _escape, _escape_bytes)):
+        if sign in text and (got := _spliced(layer, inner, decode)):
+            yield got
+            if "\ufffd" in got.text:
+                yield _spliced(layer, inner, as_bytes)
+    if "\0" in text and (got := _spliced(layer, _WIDE, _narrow)):
         yield got
-    if "\\" in text and (got := _spliced(layer, _ONE_ESCAPE, _escape)):
-        yield got
-    for m in _BASE64.finditer(text):
-        if m.end() - m.start() < scan.least:
-            continue
-        raw = _base64(m[0])
-        if not raw:
-            continue
-        place = layer.place(*m.span())
-        if (got := _readable(raw)) is not None:
-            yield _Layer(got, *place)
-        for part in _unzipped(raw, scan):
-            yield _Layer(part.decode("utf-8", "replace"), *place)
+    for runs in (_BASE64, _WRAPPED):
+        for m in runs.finditer(text):
+            for raw in _base64(m[0], scan):
+                for got in _texts(raw):
+                    yield _Layer(got, *layer.place(*m.span()))
+    raw = None
+    for m in _MAGIC.finditer(text):
+        if raw is None:
+            raw = memoryview(text.encode("latin-1", "replace"))
+        place = None
+        for part in _unzipped(raw[m.start() :], scan):
+            place = place or layer.place(m.start(), m.start() + (1 if layer.starts is None else max(1, _packed(raw[m.start() :]))))
+            for got in _texts(part, every=True):
+                yield _Layer(got, *place)
 
 
 def all_spans(text: str, scan: Scan = Scan()) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
@@ -182,7 +238,7 @@ def all_spans(text: str, scan: Scan = Scan()) -> tuple[list[tuple[str, int, int]
     rank = {k: i for i, k in enumerate(KINDS)}
     key = lambda s: (s[1], rank[s[0]], s[2])
     base = sorted(base_spans(text), key=key)
-    if "%" not in text and "\\" not in text and not _BASE64.search(text):
+    if not any(c in text for c in "%\\\0") and not any(p.search(text) for p in (_BASE64, _WRAPPED, _MAGIC)):
         return base, base, 0
     top = _Layer(text, 0, len(text), range(len(text)), range(1, len(text) + 1))
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
