@@ -6,12 +6,14 @@ group that stands in some pages only becomes optional, neighbours of one kind
 fold into a repeated group, and texts that differ become a slot. Alignment is
 associative up to the order of optional groups, so tasks infer wrappers of
 their own rows and a second and third step align those; no host's pages meet in
-one task. The wrapper tells which group holds the article; a page that lacks it
-is read by a wrapper of its own.
+one task. The wrapper tells which group holds the article and which containers
+in it are the same on the host's pages; a page that lacks the group is read by a
+wrapper of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -121,7 +123,8 @@ def parse(html: str) -> Node:
     return root
 
 
-# A wrapper node: [label, optional, repeated, letters, letters in links, text that all pages share or None, children].
+# A wrapper node: [label, optional, repeated, letters, letters in links, text (of an element and a long text its digest)
+# that all pages share or None, children, pages].
 
 
 def _fold(nodes: list[list]) -> list[list]:
@@ -136,7 +139,7 @@ def _fold(nodes: list[list]) -> list[list]:
 
 
 def _meet(a: list, b: list, repeated: bool = False) -> list:
-    return [a[0], a[1] or b[1], repeated or a[2] or b[2], a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None, align(a[6], b[6])]
+    return [a[0], a[1] or b[1], repeated or a[2] or b[2], a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None, align(a[6], b[6]), max(a[7], b[7]) if repeated else a[7] + b[7]]
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
@@ -162,19 +165,25 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return _fold(out)
 
 
+def _digest(shared: str) -> str:
+    return "\0" + hashlib.blake2b(shared.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def expression(node: Node, link: bool = False) -> list:
     """A single page's expression."""
     if node.text is not None:
         size = len(node.text.strip())
-        return [node.label, False, False, size, size if link else 0, node.text if size <= 80 else None, []]
+        return [node.label, False, False, size, size if link else 0, node.text if size <= 80 else _digest(node.text), [], 1]
     link = link or node.tag == "a"
-    kids = _fold([expression(c, link) for c in node.children if c.label != " "])
-    return [node.label, False, False, sum(k[3] for k in kids), sum(k[4] for k in kids), None, kids]
+    kids = [expression(c, link) for c in node.children if c.label != " "]
+    own = _digest("\1".join(f"{k[0]}\2{k[5]}" for k in kids))
+    kids = _fold(kids)
+    return [node.label, False, False, sum(k[3] for k in kids), sum(k[4] for k in kids), own, kids, 1]
 
 
 def pattern(wrapper: list) -> str:
     """The expression as text: ``(...)?`` optional, ``(...)+`` repeated, ``#`` a slot, shared texts as they are."""
-    label, optional, repeated, _, _, shared, kids = wrapper
+    label, optional, repeated, _, _, shared, kids, _ = wrapper
     inner = "".join(map(pattern, kids))
     own = (shared or "#") if label == "#" else f"<{label}>{inner}</{label}>" if label else inner
     return f"({own})" + ("*" if optional and repeated else "+" if repeated else "?") if optional or repeated else own
@@ -236,6 +245,27 @@ def article_path(wrapper: list) -> list[str] | None:
         node, path = top, [*path, top[0]]
 
 
+def constants(wrapper: list, path: list[str] | None) -> frozenset[tuple[str, str]]:
+    """Label and digest of the containers in the article that most pages of the host have with one text.
+
+    None where the article itself is the same on all pages, and none that holds
+    half of its letters: pages that repeat each other lose no text by this.
+    """
+    level = [wrapper]
+    for label in path or []:
+        level = [k for n in level for k in n[6] if k[0] == label]
+    found = set()
+    for top in level:
+        work = top[6][:] if top[5] is None else []
+        while work:
+            n = work.pop()
+            if n[5] is not None and n[7] > 1 and 2 * n[7] > top[7] and 2 * n[3] < top[3] and n[3] and n[0].split(".")[0] in NAMEABLE:
+                found.add((n[0], n[5]))
+            else:
+                work += n[6]
+    return frozenset(found)
+
+
 def _at(root: Node, path: list[str]) -> list[Node]:
     level = [root]
     for label in path:
@@ -243,8 +273,9 @@ def _at(root: Node, path: list[str]) -> list[Node]:
     return level
 
 
-def blocks(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks below, in order, without what is left out."""
+def blocks(nodes: list[Node], same: frozenset[tuple[str, str]] = frozenset()) -> list[str]:
+    """Texts of the blocks below, in order, without what is left out and containers that are the ``same`` on a host."""
+    labels = {label for label, _ in same}
     out: list[str] = []
     held: list[str] = []
 
@@ -261,7 +292,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             close()
         elif n.text is not None:
             held.append(n.text)
-        elif _out(n.label):
+        elif _out(n.label) or (n.label in labels and (n.label, _bounded(n)[5]) in same):
             continue
         elif n.tag in BLOCK:
             close()
@@ -274,8 +305,8 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def main_text(html: str | None, path: list[str] | None) -> str:
-    """The article's blocks joined by line feeds; ``path`` is the host's, tried first."""
+def main_text(html: str | None, path: list[str] | None, same: frozenset[tuple[str, str]] = frozenset()) -> str:
+    """The article's blocks joined by line feeds; ``path`` is the host's, tried first; ``same`` its constant containers."""
     if not html:
         return ""
     root = parse(html)
@@ -283,7 +314,7 @@ def main_text(html: str | None, path: list[str] | None) -> str:
     if not found:
         own = article_path(_bounded(root))
         found = _at(root, own) if own else [root]
-    return "\n".join(blocks(found))
+    return "\n".join(blocks(found, same))
 
 
 def _bounded(root: Node, depth: int = 200) -> list:
@@ -352,15 +383,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    paths: dict[str | None, list[str] | None] = {None: None}
+    read: dict[str | None, tuple] = {None: (None, frozenset())}
     for batch in it:
         texts = []
         for html, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            if w not in paths:
-                if len(paths) > 10_000:
-                    paths = {None: None}
-                paths[w] = article_path(json.loads(w))
-            texts.append(main_text(html, paths[w]))
+            if w not in read:
+                if len(read) > 10_000:
+                    read = {None: (None, frozenset())}
+                path = article_path(x := json.loads(w))
+                read[w] = path, constants(x, path)
+            texts.append(main_text(html, *read[w]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 

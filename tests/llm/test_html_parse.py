@@ -1,6 +1,6 @@
 import pytest
 
-from cadenza.llm.html import main_text
+from cadenza.llm.html import extract, main_text
 
 
 @pytest.mark.parametrize(
@@ -36,3 +36,24 @@ def test_a_raw_element_without_end_reaches_to_the_end():
 )
 def test_names_leave_out_containers_only(page, text):
     assert main_text(page, None) == text
+
+
+def host_texts(spark, pages):
+    rows = [(i, "http://h/x", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+def test_containers_that_are_the_same_on_a_host_are_left_out(spark):
+    note = "<div class=x7f><p>Get our letter.</p><p>%s</p><ul><li>now<li>later</ul></div>" % ("Every week, free of charge. " * 5)
+    body = lambda i: f"<h1>T{i}</h1><p>{f'long text {i} ' * 40}</p><h2>Method</h2><div class=k2>box {i}</div>"
+    pages = [f"<article>{body(i)}{note if i != 3 else ''}<p>end {i}</p></article>" for i in range(5)]
+    want = ["\n".join([f"T{i}", f"long text {i} " * 39 + f"long text {i}", "Method", f"box {i}", f"end {i}"]) for i in range(5)]
+    assert host_texts(spark, pages) == want
+    assert "Get our letter." in host_texts(spark, pages[:1])[0]
+
+
+def test_pages_that_repeat_each_other_lose_nothing(spark):
+    page = "<article><h1>T{0}</h1><div class=b><p>the whole text of the page</p></div><div class=c><p>more</p></div></article>"
+    assert host_texts(spark, [page.format(1)] * 3) == ["T1\nthe whole text of the page\nmore"] * 3
+    assert all("the whole text" in t for t in host_texts(spark, [page.format(i) for i in range(3)]))
