@@ -7,15 +7,15 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.exact_dedup import exact_duplicates
+from cadenza.llm.exact_dedup import IGNORED, exact_duplicates
 from cadenza.llm.near_dedup import NearDedup, near_duplicates
 from cadenza.llm.packing import pack
 from cadenza.llm.quality import fitted, scored
 from cadenza.llm.secrets import redact
-from cadenza.llm.storage import new_path, table
+from cadenza.llm.storage import new_path, table, written
 
 #: SQL cannot express training, near duplicates or tokenizing: the tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -27,9 +27,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original with the smallest id goes on."""
-    gone = exact_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts one row of the longest original with the smallest id goes on; rows without an id come last."""
+    decided = written(exact_duplicates(docs).select("doc_id", "text_sha256", "kept"), "exact")
+    same = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), IGNORED, "")
+    rows = docs.withColumn("text_sha256", F.sha2(same.cast("binary"), 256))
+
+    def meet(keys: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("key_id"), F.col("text_sha256").alias("key_sha256"))
+        return of.join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_sha256") == F.col("key_sha256")), how)
+
+    left = meet(decided.where("NOT kept"), "left_anti", rows)
+    # Rows that repeat the kept id: equal ones collapse before one of the longest is taken.
+    again = decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    if not again.isEmpty():
+        number = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.length("text").desc(), "text"))
+        one = meet(again, "left_semi", left).dropDuplicates().withColumn("key_row", number).where("key_row = 1").drop("key_row")
+        left = meet(again, "left_anti", left).unionByName(one)
+    return left.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
