@@ -1,14 +1,19 @@
 """Secret scans through nested encodings.
 
 A worklist holds layers: the text itself, then whatever its URL escapes,
-``\\u`` and ``\\x`` escapes, base64 runs and compressed bytes unwrap to. Each
-layer is scanned with the same patterns and searched for further encodings
-until nothing new appears; a layer seen before ends its branch, so cycles stop.
-Every layer carries, for each of its characters, the span of the original text
-it came from; a base64 layer maps to the run that held it, a compressed one to
-the bytes it was packed in. Bytes that are no UTF-8 are read as Latin-1, one
-character a byte, so compressed bytes and wide characters are found in any
-layer, wherever they begin.
+``\\u`` and ``\\x`` escapes, base64 runs, two-byte characters and compressed
+bytes unwrap to. Each layer is scanned with the same patterns and searched for
+further encodings until nothing new appears; a layer seen before at its place
+ends its branch, so cycles stop. Every layer maps its characters to the span of
+the original text they came from; a base64 layer maps to the run that held it,
+a compressed one to the bytes it was packed in. Decoded bytes are read as
+Latin-1, one character a byte: all that is looked for is ASCII or bytes, so
+this finds it in any encoding, wherever it begins.
+
+Layers are taken depth first, and a compressed one is read as a stream, window
+by window, cut where no pattern reaches across; compressed bytes that go on
+behind a window are read on from the stream, opened anew. So a bomb costs time
+but no more memory than a few windows for each layer around it.
 """
 
 from __future__ import annotations
@@ -17,8 +22,10 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -38,21 +45,29 @@ _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|((
 _ONE_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _LINE_END = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]++)+={{0,2}}")
 #: gzip, zlib, bzip2 and xz streams; characters of two bytes.
 _MAGIC = re.compile("\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 _WIDE = re.compile("(?:[\x01-\xff]\x00){4,}|(?:\x00[\x01-\xff]){4,}")
-#: What a layer of odd bytes needs to be looked at.
-_WORTH = re.compile(rf"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{{32}}|%[0-9A-Fa-f]{{2}}|\\[ux]|[A-Za-z0-9+/_-]{{16}}|{_MAGIC.pattern}|{_WIDE.pattern}")
+#: Decoded bytes need a look if they hold one of the words in lower case, or a byte and a pattern that begins with it.
+_WORTH = (b"passw", b"secret", b"token", b"api_key", b"apikey", b"akia")
+_WORTH_TOO = [
+    (sign, re.compile(pattern.encode("latin-1"), re.S))
+    for sign, pattern in ((b"", "[A-Za-z0-9+/_-]{16}"), (b"%", "%[0-9A-Fa-f]{2}"), (b"\\", r"\\[ux]"), (b"\0", _WIDE.pattern), (b"", _MAGIC.pattern), (b"\n", rf"(?:[A-Za-z0-9+/_-]++{_LINE_END.pattern}){{2}}"), (b"\\n", rf"(?:[A-Za-z0-9+/_-]++{_LINE_END.pattern}){{2}}"))
+]
+#: Characters that no pattern holds.
+_BREAK = re.compile(rb"(?<!\0)[,;()<>!?*#@$|~\[\]`](?=[^\0])")
 
 
 @dataclass(frozen=True)
 class Scan:
-    """least: base64 characters a run needs. most: bytes one compressed layer may grow to; a larger one is read in
-    overlapping parts of that size, so memory stays bounded and all of it is scanned."""
+    """least: base64 characters a run needs. most: bytes of a window of a decompressed stream; results do not depend on
+    it as long as ``hold`` windows hold a character that no pattern has. A longer stretch without any, which would have
+    to be one run of base64 or hex or of words alone, is read in parts that share ``overlap`` bytes."""
 
     least: int = 16
-    most: int = 1 << 24
+    most: int = 1 << 22
+    hold: int = 8
     overlap: int = 1 << 12
 
 
@@ -65,44 +80,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class _Layer:
-    """starts, ends: of each character in the original text; None where all came from one run."""
+    """pieces: ``(first character, start, end, linear)`` of stretches of the layer: a linear one came from the original
+    character by character, another one as a whole. more: the bytes behind a window of a stream. at: its place there."""
 
-    __slots__ = ("end", "ends", "start", "starts", "text")
+    __slots__ = ("at", "firsts", "more", "pieces", "text")
 
-    def __init__(self, text: str, start: int, end: int, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.start, self.end, self.starts, self.ends = text, start, end, starts, ends
+    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]], at: int = 0, more: Callable[[], Iterator[bytes]] | None = None):
+        self.text, self.pieces, self.at, self.more = text, pieces, at, more
+        self.firsts = [p[0] for p in pieces]
 
     def place(self, a: int, b: int) -> tuple[int, int]:
-        return (self.start, self.end) if self.starts is None else (self.starts[a], self.ends[b - 1])
+        first, start, _, linear = self.pieces[bisect_right(self.firsts, a) - 1]
+        last, into, end, even = self.pieces[bisect_right(self.firsts, b - 1) - 1]
+        return (start + a - first if linear else start, into + b - last if even else end)
+
+    def part(self, a: int, b: int, to: int) -> list[tuple[int, int, int, bool]]:
+        """Pieces of characters a to b as they stand in a layer that has them at ``to``."""
+        k, out = bisect_right(self.firsts, a) - 1, []
+        while a < b:
+            first, start, end, linear = self.pieces[k]
+            k += 1
+            upto = min(b, self.firsts[k]) if k < len(self.firsts) else b
+            out.append((to, start + a - first, start + upto - first, True) if linear else (to, start, end, False))
+            to, a = to + upto - a, upto
+        return out
 
 
 def _spliced(layer: _Layer, inner: re.Pattern, decode) -> _Layer | None:
     """The whole layer with its escapes replaced, each character mapped."""
-    whole, last = layer.text, 0
+    whole, last, to = layer.text, 0, 0
     text: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-
-    def plain(a: int, b: int) -> None:
-        nonlocal starts, ends
-        text.append(whole[a:b])
-        starts += [layer.start] * (b - a) if layer.starts is None else layer.starts[a:b]
-        ends += [layer.end] * (b - a) if layer.ends is None else layer.ends[a:b]
-
+    pieces: list[tuple[int, int, int, bool]] = []
     for m in inner.finditer(whole):
-        got = decode(m)
-        if got is None:
+        if (got := decode(m)) is None:
             continue
-        plain(last, m.start())
-        s, e = layer.place(*m.span())
-        text.append(got)
-        starts += [s] * len(got)
-        ends += [e] * len(got)
+        pieces += layer.part(last, m.start(), to)
+        to += m.start() - last
+        pieces.append((to, *layer.place(*m.span()), False))
+        text += [whole[last : m.start()], got]
+        to += len(got)
         last = m.end()
     if not last:
         return None
-    plain(last, len(whole))
-    return _Layer("".join(text), layer.start, layer.end, starts, ends)
+    text.append(whole[last:])
+    return _Layer("".join(text), pieces + layer.part(last, len(whole), to))
 
 
 def _percent(m: re.Match) -> str | None:
@@ -130,77 +151,99 @@ def _escape(m: re.Match) -> str | None:
     return bytes.fromhex(m[3].replace("\\x", "")).decode("utf-8", "replace")
 
 
-def _unzipped(raw: memoryview, scan: Scan) -> Iterator[bytes]:
-    """What gzip, zlib or bzip2/xz bytes hold, in parts that overlap."""
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        d = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
+def _opened(head: bytes):
+    """A reader of gzip, zlib, bzip2 or xz bytes that begin so."""
+    if head[:1] == b"B":
         import bz2
 
-        d = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
+        return bz2.BZ2Decompressor()
+    if head[:1] == b"\xfd":
         import lzma
 
-        d = lzma.LZMADecompressor()
-    else:
-        return
-    tail, feed = b"", raw
+        return lzma.LZMADecompressor()
+    return zlib.decompressobj(47)
+
+
+def _broken() -> tuple:
+    from lzma import LZMAError
+
+    return (zlib.error, OSError, EOFError, ValueError, LZMAError)
+
+
+def _unpacked(packed: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """What compressed bytes hold, at most ``most`` bytes at a time, up to their end or the first fault."""
+    reader = None
     try:
-        while True:
-            part = d.decompress(feed, scan.most)
-            feed = getattr(d, "unconsumed_tail", b"")
-            if part:
-                yield tail + part
-                tail = (tail + part)[-scan.overlap :]
-            if d.eof or not part or (isinstance(getattr(d, "needs_input", None), bool) and d.needs_input and not feed):
-                return
-    except (zlib.error, OSError, EOFError, ValueError):
+        for feed in packed:
+            reader = reader or _opened(bytes(feed[:6]))
+            while True:
+                out = reader.decompress(feed, most)
+                feed = getattr(reader, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                if reader.eof:
+                    return
+                if not feed and len(out) < most and getattr(reader, "needs_input", True):
+                    break
+    except _broken():
         return
-    except Exception as e:  # lzma.LZMAError has no common base with the others
-        if type(e).__name__ != "LZMAError":
-            raise
 
 
-def _packed(raw: memoryview) -> int:
-    """Length of the stream that ``raw`` begins with; all of it where the stream has no end."""
-    if raw[:1] == b"B":
-        import bz2
+def _skipped(parts: Iterator[bytes], n: int) -> Iterator[bytes]:
+    for part in parts:
+        if n < len(part):
+            yield part[n:]
+        n = max(0, n - len(part))
+
+
+def _windows(opened: Callable[[], Iterator[bytes]], scan: Scan) -> Iterator[tuple[int, bytes]]:
+    """Windows of a stream and their places in it."""
+    held, at = b"", 0
+    for part in opened():
+        held += part
+        if len(held) < scan.most:
+            continue
+        cut = 0
+        for lo in range(len(held), 0, -4096):
+            breaks = list(_BREAK.finditer(held, max(0, lo - 4096), min(len(held), lo + 1)))
+            if breaks:
+                cut = breaks[-1].end()
+                break
+        if cut:
+            yield at, held[:cut]
+            at, held = at + cut, held[cut:]
+        elif len(held) >= scan.hold * scan.most:
+            yield at, held
+            at, held = at + len(held) - scan.overlap, held[-scan.overlap :]
+    if held:
+        yield at, held
 
-        d = bz2.BZ2Decompressor()
-    elif raw[:1] == b"\xfd":
-        import lzma
 
-        d = lzma.LZMADecompressor()
-    else:
-        d = zlib.decompressobj(47)
-    at = 0
+def _packed(raw: memoryview) -> int:
+    """Length of the stream that ``raw`` begins with; up to the fault where it is broken, all of it where it has no end."""
+    reader, at = _opened(bytes(raw[:6])), 0
     try:
-        while at < len(raw) and not d.eof:
-            d.decompress(raw[at : at + 4096])
+        while at < len(raw) and not reader.eof:
+            feed = raw[at : at + 4096]
+            while True:
+                out = reader.decompress(feed, 1 << 20)
+                feed = getattr(reader, "unconsumed_tail", b"")
+                if reader.eof or (not feed and len(out) < 1 << 20 and getattr(reader, "needs_input", True)):
+                    break
             at += 4096
-    except Exception:  # broken off: whatever came before was unpacked from here
+    except _broken():
         return min(at + 4096, len(raw))
-    return min(at, len(raw)) - len(d.unused_data)
+    return min(at, len(raw)) - len(reader.unused_data)
 
 
-def _texts(raw: bytes, every: bool = False) -> Iterator[str]:
-    """``raw`` as UTF-8 or else Latin-1, where it reads like a text or holds anything to find."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        text = raw.decode("latin-1")
-        if every or _WORTH.search(text):
-            yield text
-        return
-    if every or sum(c.isprintable() or c.isspace() for c in text) >= 0.9 * len(text) or _WORTH.search(text):
-        yield text
-    if not text.isascii() and _MAGIC.search(wide := raw.decode("latin-1")):
-        yield wide
+def _worth(raw: bytes) -> bool:
+    low = raw.lower()
+    return any(w in low for w in _WORTH) or any(sign in raw and pattern.search(raw) for sign, pattern in _WORTH_TOO)
 
 
 def _base64(run: str, scan: Scan) -> Iterator[bytes]:
     """The run decoded from each of four offsets, as other characters may be joined to its front."""
-    body = _LINE_END.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
+    body = run if run.isalnum() else _LINE_END.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) < scan.least:
         return
     for at in range(4):
@@ -217,20 +260,22 @@ def _unwrapped(layer: _Layer, scan: Scan) -> Iterator[_Layer]:
                 yield _spliced(layer, inner, as_bytes)
     if "\0" in text and (got := _spliced(layer, _WIDE, _narrow)):
         yield got
-    for runs in (_BASE64, _WRAPPED):
+    for runs in (_BASE64, _WRAPPED) if "\n" in text or "\\n" in text else (_BASE64,):
         for m in runs.finditer(text):
             for raw in _base64(m[0], scan):
-                for got in _texts(raw):
-                    yield _Layer(got, *layer.place(*m.span()))
+                if _worth(raw):
+                    yield _Layer(raw.decode("latin-1"), [(0, *layer.place(*m.span()), False)])
     raw = None
     for m in _MAGIC.finditer(text):
         if raw is None:
             raw = memoryview(text.encode("latin-1", "replace"))
+        packed = raw[m.start() :]
+        opened = lambda packed=packed: _unpacked(chain((packed[:4096], packed[4096:]), layer.more() if layer.more else ()), scan.most)
         place = None
-        for part in _unzipped(raw[m.start() :], scan):
-            place = place or layer.place(m.start(), m.start() + (1 if layer.starts is None else max(1, _packed(raw[m.start() :]))))
-            for got in _texts(part, every=True):
-                yield _Layer(got, *place)
+        for at, window in _windows(opened, scan):
+            place = place or (0, *layer.place(m.start(), m.start() + (max(1, _packed(packed)) if len(layer.pieces) > 1 or layer.pieces[0][3] else 1)), False)
+            if _worth(window):
+                yield _Layer(window.decode("latin-1"), [place], at, lambda opened=opened, n=at + len(window): _skipped(opened(), n))
 
 
 def all_spans(text: str, scan: Scan = Scan()) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
@@ -240,19 +285,20 @@ def all_spans(text: str, scan: Scan = Scan()) -> tuple[list[tuple[str, int, int]
     base = sorted(base_spans(text), key=key)
     if not any(c in text for c in "%\\\0") and not any(p.search(text) for p in (_BASE64, _WRAPPED, _MAGIC)):
         return base, base, 0
-    top = _Layer(text, 0, len(text), range(len(text)), range(1, len(text) + 1))
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work, found, layers = [top], set(base), 0
+    mark = lambda x: hashlib.blake2b(f"{x.place(0, len(x.text))}:{x.at}:".encode() + x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    top = _Layer(text, [(0, 0, len(text), True)])
+    seen, found, layers = {mark(top)}, set(base), 0
+    work = [_unwrapped(top, scan)]
     while work:
-        for got in _unwrapped(work.pop(), scan):
-            # The same decoded text at another place is another finding; at the same place it is a cycle.
-            mark = hashlib.blake2b(f"{got.start}:{got.end}:".encode() + got.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if mark in seen:
-                continue
-            seen.add(mark)
+        got = next(work[-1], None)
+        if got is None:
+            work.pop()
+        # The same decoded text at another place is another finding; at the same place it is a cycle.
+        elif got.text and (own := mark(got)) not in seen:
+            seen.add(own)
             layers += 1
             found.update((k, *got.place(a, b)) for k, a, b in base_spans(got.text))
-            work.append(got)
+            work.append(_unwrapped(got, scan))
     return base, sorted(found, key=key), layers
 
 
