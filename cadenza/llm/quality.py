@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .storage import keyed_texts, spread, table
+from .storage import keyed_texts, numbered_columns, spread, table
 
 U64 = np.uint64
 
@@ -204,11 +204,11 @@ def _features(vectors, p: Quality):
     return run
 
 
-def _score(model, p: Quality, keep: list[str]):
+def _score(model, p: Quality, keep: list[str], text: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = model.value
         for batch in it:
-            data, offsets = hashing.utf8(batch.column("text"))
+            data, offsets = hashing.utf8(batch.column(text))
             for lo, hi in hashing.blocks(offsets):
                 part = offsets[lo : hi + 1]
                 score = net.score(pooled(data[part[0] : part[-1]], part - part[0], v, p))
@@ -227,7 +227,8 @@ def fitted(docs: DataFrame, labels: DataFrame, p: Quality = Quality()):
 
     Rows of ``labels`` whose id's fold of 3 is 1, without a quality, or without
     a document are not learnt from. Of the others, the ``sample`` rows that
-    come first by a hash of their id are.
+    come first by a hash of their id are. Of documents that repeat such an id
+    the one with the least features counts, so no more rows than that are gathered.
     """
     spark = docs.sparkSession
     docs = spread(docs)
@@ -236,17 +237,19 @@ def fitted(docs: DataFrame, labels: DataFrame, p: Quality = Quality()):
     use = use.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(p.sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(use.select("doc_id").distinct()), "doc_id", "left_semi")
     held = spark.sparkContext.broadcast(vectors)
-    x = rows.mapInArrow(_features(held, p), "doc_id long, x binary").join(F.broadcast(use), "doc_id").orderBy("doc_id", "quality", "x").toPandas()
-    feats = np.frombuffer(b"".join(map(bytes, x["x"])), dtype=np.float32).reshape(len(x), p.features)
+    x = rows.mapInArrow(_features(held, p), "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(use), "doc_id").toPandas()
+    x = x.assign(x=x["x"].map(bytes)).sort_values(["doc_id", "quality", "x"], ignore_index=True)
+    feats = np.frombuffer(b"".join(x["x"]), dtype=np.float32).reshape(len(x), p.features)
     net = train(feats, x["quality"].to_numpy(), p)
     return spark.sparkContext.broadcast((vectors, net))
 
 
-def scored(docs: DataFrame, model, p: Quality = Quality()) -> DataFrame:
-    """``docs`` with the model's ``score``; a column of that name is replaced. A null or empty text has a score too."""
-    keep = [c for c in docs.columns if c != "score"]
-    types = dict(docs.dtypes)
-    return spread(docs).select(*(f"`{c}`" for c in keep)).mapInArrow(_score(model, p, keep), ", ".join(f"`{c}` {types[c]}" for c in keep) + ", score double")
+def scored(docs: DataFrame, model, p: Quality = Quality(), name: str = "score") -> DataFrame:
+    """``docs`` with the model's score as ``name``; a column of that name is replaced. A null or empty text has a score too."""
+    names = [c for c in docs.columns if c.lower() != name.lower()]
+    rows = numbered_columns(spread(docs).select(*("`" + c.replace("`", "``") + "`" for c in names)))
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", score double"
+    return rows.mapInArrow(_score(model, p, rows.columns, names.index("text")), schema).toDF(*names, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: Quality = Quality()) -> DataFrame:

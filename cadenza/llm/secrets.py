@@ -31,7 +31,7 @@ from urllib.parse import unquote_to_bytes
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .storage import keyed_texts, spread, table
+from .storage import keyed_texts, numbered_columns, spread, table
 
 #: Kinds in rank order, their patterns, and the least length of what is kept.
 KINDS = ("assign", "access", "hex")
@@ -353,9 +353,10 @@ def redact(docs: DataFrame, scan: Scan = Scan(), mark: str = "[secret]") -> Data
                 done.append(text)
             columns = list(batch.columns)
             columns[at] = pa.array(done, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    rows = numbered_columns(spread(docs))
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -55,6 +55,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if -(-size // split) * 2 < cores else df
 
 
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1 and so on: functions over batches take no name with a dot or a quote."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, in the types the operators take."""
     return spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

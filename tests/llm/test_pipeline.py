@@ -5,11 +5,12 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from cadenza.llm.quality import classify
-from cadenza.llm.secrets import all_spans
+from cadenza.llm.quality import Quality
 
 from .conftest import SF
-from .test_dedup import brute
+from .test_near_stage import brute
+from .test_quality_loops import slow_scores
+from .test_secret_streams import slowly
 from .test_tokens import check_packing
 
 
@@ -22,14 +23,16 @@ def exact(texts):
 
 def test_run(spark, documents, texts):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    good = {r.doc_id for r in classify(documents, labels).collect() if r.score >= 0.5}
-    left = {i: t for i, t in texts.items() if i in good}
+    rows = sorted(texts.items())
+    scores = slow_scores(rows, {r.doc_id: r.quality for r in labels.collect()}, Quality())
+    assert all(abs(x - 0.5) > 0.01 for x in scores)
+    left = {i: t for (i, t), x in zip(rows, scores, strict=True) if x >= 0.5}
     left = {i: left[i] for i in exact(left)}
-    left = {i: left[i] for i, (_, c) in brute(left).items() if c == i}
+    left = {i: left[i] for i in brute(left, 80)}
 
     def hide(t):
         out, last = [], 0
-        for _, a, b in all_spans(t)[1]:
+        for a, b in sorted((a, b) for _, a, b in slowly([(c, k, k + 1) for k, c in enumerate(t)])):
             if a >= last:
                 out += [t[last:a], "[secret]"]
             last = max(last, b)
