@@ -69,9 +69,10 @@ def test_near_in_many_blocks(spark):
     check_near(spark, copies(2, 3, 70), NearDedup(block=16))
 
 
-def test_near_by_the_bucket(spark):
-    """Families wider than a few blocks meet by the bucket and lose no link either."""
-    check_near(spark, copies(2, 3, 70), NearDedup(block=8, spread=1))
+def test_near_in_blocks_of_few_documents_and_bytes(spark):
+    """Buckets wider than a few blocks lose no link either."""
+    check_near(spark, copies(2, 3, 70), NearDedup(block=8))
+    check_near(spark, copies(2, 3, 70), NearDedup(block_bytes=4000))
 
 
 def test_near_of_the_tables(spark, documents, texts):
