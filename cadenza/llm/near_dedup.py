@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .graph import components
+from .graph import SALTS, components
 from .storage import keyed_texts, table, written
 
 U64 = np.uint64
@@ -301,9 +301,11 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """
     docs = keyed_texts(docs)
     sketch = written(docs.mapInArrow(_sketch(p), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketch")
+    # Copies of one text may hold any share of the rows: they are told apart by id or by a salt wherever they are joined.
+    sketch = sketch.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     known = sketch.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("head"))
-    heads = known.join(classes, "digest").where("doc_id = head").select("doc_id", "n_shingles", "bands")
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("head"), F.collect_set("salt").alias("salts")), "classes")
+    heads = known.join(classes.select("digest", F.col("head").alias("doc_id")), ["doc_id", "digest"], "left_semi").select("doc_id", "n_shingles", "bands")
     rows = heads.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     least = rows.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v <> most").select("key", "v")
     shared = written(rows.join(least, "key"), "shared")  # members of buckets that have two or more
@@ -331,8 +333,8 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     both = second.join(group.select(F.col("node").alias("u"), F.col("group").alias("gu")), "u", "left").join(group.select(F.col("node").alias("v"), F.col("group").alias("gv")), "v", "left")
     joined = components(both.select(F.coalesce("gu", "u").alias("u"), F.coalesce("gv", "v").alias("v")))
     joined = joined.select(F.col("node").alias("group"), F.col("component").alias("top"))
-    heads_of = classes.join(first.withColumnRenamed("node", "head"), "head", "left").withColumn("group", F.coalesce("component", "head")).join(joined, "group", "left").select("digest", F.coalesce("top", "group").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(heads_of, "digest", "left")
+    heads_of = classes.join(first.withColumnRenamed("node", "head"), "head", "left").withColumn("group", F.coalesce("component", "head")).join(joined, "group", "left").select("digest", F.explode("salts").alias("salt"), F.coalesce("top", "group").alias("component"))
+    out = sketch.select("doc_id", "n_shingles", "digest", "salt").join(heads_of, ["digest", "salt"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
