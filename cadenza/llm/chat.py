@@ -2,8 +2,11 @@
 
 Only DataFrame functions run here. Calls and results meet in a hash join on
 conversation and call id. A call that names others in its ``after`` argument
-follows them: rounds of an equi-join hand each call its level, one round per
-level, and what no round reaches lies on or behind a cycle. Arguments are
+follows them. Levels are handed out stretch by stretch: a stretch of at most
+some thousand calls of one conversation is a folded array, forwards and then
+backwards, and rounds of an equi-join carry levels from stretch to stretch, so
+their number follows the stretches a chain runs through, not its links. What no
+round reaches lies on or behind a cycle. Arguments are
 parsed once into variants and checked against the function's schema. A call's
 JSON has sorted keys, no spaces and shortest numbers.
 """
@@ -15,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import dropped, table, written
+from .storage import dropped, new_path, table, written
 
 #: Variant types by the names schemas use.
 _TYPES = {
@@ -31,56 +34,142 @@ _TYPES = {
 
 @dataclass(frozen=True)
 class Tools:
-    """functions: of each, its fields as ``name: (type, required)``. after: the argument that lists calls to follow."""
+    """functions: of each, its fields as ``name: (type, required)`` or ``(type, required, more)``.
+
+    more: of an object, its own fields, of an array, its items as ``(type,
+    more)``, of any other type the values it may have. A number without a
+    fraction is an integer however it is written. after: the argument that
+    lists calls to follow. stretch: calls of a conversation taken as one array.
+    """
 
     functions: dict = field(default_factory=dict)
     after: str = "after"
     stretch: int = 1024
 
 
+def _fits(got: Column, wanted: str) -> Column:
+    kind = F.schema_of_variant(got)
+    fits = F.lit(False)
+    for t in _TYPES[wanted]:
+        fits = fits | kind.startswith(t)
+    if wanted == "integer":
+        number = F.try_variant_get(got, "$", "double")
+        fits = fits | ((kind.startswith("DOUBLE") | kind.startswith("DECIMAL")) & (number == F.floor(number)))
+    return fits
+
+
+def _checked(value: Column, fields: dict, at: str) -> Column:
+    """Messages about an object's fields; ``at`` goes before their names."""
+    found = []
+    for name, (wanted, required, *rest) in fields.items():
+        got = F.try_variant_get(value, f"$['{name}']", "variant")
+        missing = F.lit(f"missing:{at}{name}" if required else None).cast("string")
+        fits = _fits(got, wanted)
+        found.append(F.array(F.when(got.isNull(), missing).when(~fits, F.lit(f"type:{at}{name}"))))
+        if rest and rest[0]:
+            found.append(F.when(fits, _inside(got, wanted, rest[0], f"{at}{name}")).otherwise(_none()))
+    keys = F.coalesce(F.json_object_keys(F.to_json(value)), _none())
+    extra = F.transform(F.array_except(keys, F.array(*map(F.lit, fields)).cast("array<string>")), lambda k: F.concat(F.lit(f"unknown:{at}"), k))
+    return F.array_compact(F.concat(*found, extra))
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _inside(got: Column, wanted: str, more, at: str) -> Column:
+    if wanted == "object":
+        return _checked(got, more, f"{at}.")
+    if wanted == "array":
+        item, *rest = more
+        items = F.coalesce(F.try_variant_get(got, "$", "array<variant>"), F.array().cast("array<variant>"))
+        wrong = F.when(F.exists(items, lambda x: ~_fits(x, item)), F.array(F.lit(f"type:{at}[]"))).otherwise(_none())
+        if not rest or not rest[0]:
+            return wrong
+        return F.concat(wrong, F.array_distinct(F.flatten(F.transform(items, lambda x: F.when(_fits(x, item), _inside(x, item, rest[0], f"{at}[]")).otherwise(_none())))))
+    said = F.try_variant_get(got, "$", "string")
+    return F.when(said.isin(*map(str, more)), _none()).otherwise(F.array(F.lit(f"value:{at}")))
+
+
 def _errors(tools: Tools) -> Column:
     """Sorted messages about one call's arguments."""
     value = F.col("parsed")
-    kind = F.schema_of_variant(value)
     known = F.lit(None).cast("array<string>")
     for name, fields in tools.functions.items():
-        found = []
-        for f, (wanted, required) in fields.items():
-            got = F.try_variant_get(value, f"$['{f}']", "variant")
-            fits = F.lit(False)
-            for t in _TYPES[wanted]:
-                fits = fits | F.schema_of_variant(got).startswith(t)
-            missing = F.lit(f"missing:{f}" if required else None).cast("string")
-            found.append(F.when(got.isNull(), missing).when(~fits, F.lit(f"type:{f}")))
-        keys = F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
-        extra = F.transform(F.array_except(keys, F.array(*map(F.lit, fields)).cast("array<string>")), lambda k: F.concat(F.lit("unknown:"), k))
-        known = F.when(F.col("name") == name, F.concat(F.array_compact(F.array(*found).cast("array<string>")), extra)).otherwise(known)
+        known = F.when(F.col("name") == name, _checked(value, fields, "")).otherwise(known)
     one = lambda s: F.array(F.lit(s))
-    return F.when(value.isNull(), one("not_json")).when(~kind.startswith("OBJECT"), one("not_object")).otherwise(F.array_sort(F.coalesce(known, one("unknown_function"))))
+    return F.when(value.isNull(), one("not_json")).when(~F.schema_of_variant(value).startswith("OBJECT"), one("not_object")).otherwise(F.array_sort(F.coalesce(known, one("unknown_function"))))
+
+
+def _stretches(nodes: DataFrame, stretch: int) -> DataFrame:
+    """``k, part, idx``: calls numbered within parts of one conversation, of about ``stretch`` of ``seq`` or of calls, whichever is less."""
+    if "seq" not in nodes.columns:
+        nodes = nodes.select("k", F.col("k").alias("conv"), F.lit(0).cast("long").alias("seq"))
+    rough = nodes.withColumn("r", F.floor(F.coalesce("seq", F.lit(0)) / F.lit(stretch)))
+    full = rough.groupBy("conv", "r").agg(F.count("*").alias("n")).where(F.col("n") > 2 * stretch)
+    sub = F.coalesce(F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / F.lit(stretch))), F.lit(0)).cast("long")
+    parts = rough.join(full, ["conv", "r"], "left").select("k", "seq", F.struct("conv", "r", sub.alias("sub")).alias("part"))
+    return parts.select("k", "part", (F.row_number().over(Window.partitionBy("part").orderBy("seq", "k")) - 1).alias("idx"))
+
+
+def _most(levels: Column, low: Column) -> Column:
+    return F.greatest(low, F.coalesce(F.array_max(levels), F.lit(-1).cast("long"))) + 1
+
+
+def _forwards(calls: Column) -> Column:
+    """Levels of a stretch's calls in order, null where one has to wait."""
+
+    def step(got: Column, c: Column) -> Column:
+        ready = (c["wait"] == 0) & F.forall(c["near"], lambda i: F.get(got, i).isNotNull())
+        level = F.when(ready, _most(F.transform(c["near"], lambda i: F.get(got, i)), c["low"]))
+        return F.array_append(got, F.coalesce(c["level"], level))
+
+    return F.aggregate(calls, F.array().cast("array<bigint>"), step)
+
+
+def _backwards(calls: Column, known: Column) -> Column:
+    """The same from the last call to the first, which reaches calls that stand before those they follow."""
+    n = F.size(calls)
+
+    def step(got: Column, c: Column) -> Column:
+        there = lambda i: F.coalesce(F.get(known, i), F.get(got, n - 1 - i))
+        ready = (c["wait"] == 0) & F.forall(c["near"], lambda i: there(i).isNotNull())
+        level = F.when(ready, _most(F.transform(c["near"], there), c["low"]))
+        return F.array_append(got, F.coalesce(F.get(known, c["idx"]), level))
+
+    return F.reverse(F.aggregate(F.reverse(calls), F.array().cast("array<bigint>"), step))
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, stretch: int = 1024) -> DataFrame:
     """``k, level`` of every node of ``nodes`` (``k`` distinct) that no cycle holds up; ``edges``: ``k`` follows ``parent``.
 
-    A node's level is the length of the longest chain before it.
+    A node's level is the length of the longest chain before it. Nodes with
+    ``conv`` and ``seq`` are taken in stretches of a conversation, others alone.
     """
-    left = written(nodes.join(edges.groupBy("k").agg(F.count("*").alias("wait")), "k", "left").select("k", F.coalesce("wait", F.lit(0)).alias("wait")), "waiting")
-    edges = written(edges, "edges")
-    done, level, used = [], 0, []
+    spark = nodes.sparkSession
+    base = written(_stretches(nodes, stretch), "stretches")
+    above = base.select(F.col("k").alias("parent"), F.col("part").alias("above"), F.col("idx").alias("i"))
+    placed = edges.join(base.select("k", "part"), "k").join(above, "parent")
+    near = placed.where(F.col("part") == F.col("above")).groupBy("k").agg(F.collect_set("i").alias("near"))
+    far = written(placed.where(F.col("part") != F.col("above")).select("k", "parent"), "far")
+    flat = base.join(near, "k", "left").join(far.groupBy("k").agg(F.count("*").alias("wait")), "k", "left")
+    flat = flat.select("part", "idx", "k", F.coalesce("near", F.array().cast("array<int>")).alias("near"), F.coalesce("wait", F.lit(0)).alias("wait"), F.lit(-1).cast("long").alias("low"), F.lit(None).cast("long").alias("level"))
+    path, used, turn = new_path(spark, "levels"), [base, far], 0
     while True:
-        ready = written(left.where("wait = 0").select("k", F.lit(level).cast("long").alias("level")), "ready")
-        if ready.isEmpty():
+        calls = flat.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("idx", "k", "near", "wait", "low", "level"))).alias("c")).where(F.exists("c", lambda c: c["level"].isNull()))
+        passed = calls.withColumn("known", _forwards(F.col("c"))).withColumn("known", _backwards(F.col("c"), F.col("known")))
+        rows = passed.select("part", F.explode(F.arrays_zip("c", "known")).alias("x")).select("part", "x.c.*", F.col("x.known").alias("new"))
+        rows = written(rows, "round")
+        used.append(rows)
+        fresh = rows.where("level IS NULL AND new IS NOT NULL").select("k", F.col("new").alias("level"))
+        fresh.write.parquet(f"{path}/round={turn}")
+        turn += 1
+        if fresh.isEmpty() or rows.where("new IS NULL").isEmpty():
             break
-        done.append(ready)
-        freed = edges.join(ready.select(F.col("k").alias("parent")), "parent").groupBy("k").agg(F.count("*").alias("freed"))
-        after = written(left.where("wait > 0").join(freed, "k", "left").select("k", (F.col("wait") - F.coalesce("freed", F.lit(0))).alias("wait")), "waiting")
-        used.append(left)
-        left, level = after, level + 1
-    dropped(edges, left, *used)
-    out = nodes.select("k", F.lit(None).cast("long").alias("level")).limit(0)
-    for d in done:
-        out = out.unionByName(d)
-    return out
+        told = far.join(fresh.select(F.col("k").alias("parent"), F.col("level").alias("from")), "parent").groupBy("k").agg(F.max("from").alias("from"), F.count("*").alias("n"))
+        flat = rows.join(told, "k", "left").select("part", "idx", "k", "near", (F.col("wait") - F.coalesce("n", F.lit(0))).alias("wait"), F.greatest("low", F.coalesce("from", F.lit(-1).cast("long"))).alias("low"), F.col("new").alias("level"))
+    dropped(*used)
+    return spark.read.schema("k string, level long").parquet(*(f"{path}/round={t}" for t in range(turn)))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: Tools) -> DataFrame:
@@ -115,7 +204,7 @@ def link(calls: DataFrame, results: DataFrame, tools: Tools) -> DataFrame:
     wanted = heads.select("k", F.explode(F.array_distinct(F.array_compact(after))).alias("p")).select("k", F.concat_ws("\x00", conv, "p").alias("parent"))
     there = written(wanted.join(heads.select(F.col("k").alias("parent"), F.lit(True).alias("there")), "parent", "left"), "waits")
     dangling = there.where("there IS NULL").groupBy("k").agg(F.count("*").alias("dangling"))
-    level = written(levels(heads.select("k"), there.where("there").select("k", "parent")), "levels")
+    level = levels(heads.select("k", conv.alias("conv"), "seq"), there.where("there").select("k", "parent"), tools.stretch)
 
     result = written(results.withColumn("k", F.when(whole, key)), "results")
     first_result = written(result.where("k IS NOT NULL").groupBy("k").agg(F.min(F.struct("seq", "content")).alias("r"), F.count("*").alias("n_results")), "first-results")
@@ -181,7 +270,7 @@ QUERY_TOOLS = Tools(
 
 
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """User turns as calls and assistant turns as results, some broken on purpose by their lengths."""
+    """User turns as calls and all others as results, some broken on purpose by their lengths; a turn that is not the assistant's answers no call."""
     n = F.length(F.coalesce("text", F.lit("")))
     name = F.element_at(F.array(*map(F.lit, ("search", "summarise", "translate", "lookup"))), (n % 4 + 1).cast("int"))
     call = lambda t: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), t.cast("string"))
@@ -198,7 +287,8 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     calls = conversations.where("role = 'user'").withColumn("j", quoted).select("conv_id", turn.alias("seq"), call(turn).alias("call_id"), name.alias("name"), body.alias("arguments"))
     lost = F.when(n % 11 == 0, F.lit("lost_")).otherwise(F.lit(""))
-    results = conversations.where("role = 'assistant'").select("conv_id", turn.alias("seq"), F.concat(lost, call(turn - 1)).alias("call_id"), text.alias("content"))
+    answers = F.when(F.col("role") == "assistant", F.concat(lost, call(turn - 1))).otherwise(F.concat(F.lit("note_"), call(turn)))
+    results = conversations.where("role IS DISTINCT FROM 'user'").select("conv_id", turn.alias("seq"), answers.alias("call_id"), text.alias("content"))
     return calls, results
 
 
@@ -226,8 +316,9 @@ stuck AS (SELECT k FROM edges WHERE k = parent UNION SELECT e.k FROM edges e JOI
 walk AS (SELECT call_id AS k, 0::BIGINT AS level FROM b WHERE call_id NOT IN (SELECT k FROM stuck)
          UNION SELECT e.k, w.level + 1 FROM edges e JOIN walk w ON e.parent = w.k WHERE e.k NOT IN (SELECT k FROM stuck)),
 lv AS (SELECT k, max(level) AS level FROM walk GROUP BY k),
-r AS (SELECT conv_id, CASE WHEN length(coalesce(text, '')) % 11 = 0 THEN 'lost_' ELSE '' END || 'call_' || conv_id || '_' || (turn - 1) AS call_id, text AS content
-      FROM conversations WHERE role = 'assistant'),
+r AS (SELECT conv_id, CASE WHEN role IS DISTINCT FROM 'assistant' THEN 'note_call_' || conv_id || '_' || turn
+             ELSE CASE WHEN length(coalesce(text, '')) % 11 = 0 THEN 'lost_' ELSE '' END || 'call_' || conv_id || '_' || (turn - 1) END AS call_id, text AS content
+      FROM conversations WHERE role IS DISTINCT FROM 'user'),
 c AS (
   SELECT b.*, lv.level, r.content, r.call_id IS NOT NULL AS answered,
     CASE WHEN broken THEN ['not_json'] WHEN name = 'lookup' THEN ['unknown_function'] ELSE list_sort(list_filter([
