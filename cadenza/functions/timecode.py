@@ -10,8 +10,8 @@ TIME = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})"
 
 def srt_ms(text: Column) -> Column:
     """``HH:MM:SS,mmm`` to milliseconds; null for anything else."""
-    part = lambda k: F.regexp_extract(text, f"^{TIME}$", k).cast("long")
-    return F.when(text.rlike(f"^{TIME}$"), ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4))
+    part = lambda at, n: F.substring(text, at, n).try_cast("long")
+    return F.when(text.rlike(f"^{TIME}$"), ((part(1, 2) * 60 + part(4, 2)) * 60 + part(7, 2)) * 1000 + part(10, 3))
 
 
 def srt_time(ms: Column) -> Column:

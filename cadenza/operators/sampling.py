@@ -21,24 +21,27 @@ def centred(duration: Column, n: int, interval: float = 1.0) -> Column:
     return F.when(duration <= 0, F.array(F.lit(0.0))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.greatest(F.lit(0.0), F.least(duration, first + i * F.lit(interval)))))
 
 
-def ratios(n: int, strategy: str = "even") -> list[float]:
-    """Shares of the duration by strategy."""
-    if strategy == "middle_nearby":
-        if n <= 1:
-            return [0.5]
-        base = [0.45, 0.5, 0.55]
-        more = n - 3
-        return base[:n] if n <= 3 else sorted(base + [r for k in range(more) if (r := (k + 1) / (more + 1)) not in base])
-    return [0.1, 0.5, 0.9] if n == 3 else [(k + 1) / (n + 1) for k in range(n)]
+#: Shares looked at first around the middle, and of three even ones.
+MIDDLE, THREE = (0.45, 0.5, 0.55), (0.1, 0.5, 0.9)
 
 
-def shares(duration: Column, n: int, strategy: str = "even") -> Column:
-    return F.transform(F.array(*map(F.lit, ratios(n, strategy))), lambda r: duration * r)
+def shares(duration: Column, n: Column | int, strategy: str = "even") -> Column:
+    """n seconds as shares of the duration: evenly, or around the middle and then evenly in between."""
+    n = F.lit(n) if isinstance(n, int) else n
+    cut = lambda k: F.transform(F.filter(F.sequence(F.lit(0), k), lambda i: i > 0), lambda i: i / (k + F.lit(1.0)))
+    first = F.array(*map(F.lit, THREE if strategy == "even" else MIDDLE))
+    if strategy == "even":
+        ratio = F.when(n == 3, first).otherwise(cut(n))
+    else:
+        more = F.greatest(F.lit(0), n - 3)
+        ratio = F.when(n <= 1, F.slice(first, 2, 1)).when(n <= 3, F.slice(first, 1, F.greatest(F.lit(1), n))).otherwise(F.sort_array(F.concat(first, F.array_except(cut(more), first))))
+    return F.transform(ratio, lambda r: duration * r)
 
 
 def scattered(duration: Column, n: int, seed: int) -> Column:
-    """n seeded random seconds between 8 % and 92 % of the duration, in order."""
-    return F.sort_array(F.array(*(duration * (F.lit(0.08) + F.rand(seed + k) * 0.84) for k in range(n))))
+    """n seconds between 8 % and 92 % of the duration, in order, by a seeded hash of it: the same however rows are dealt."""
+    chance = lambda k: F.pmod(F.xxhash64(duration, F.lit(seed), F.lit(k)), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    return F.sort_array(F.array(*(duration * (F.lit(0.08) + chance(k) * 0.84) for k in range(n))))
 
 
 def near_centre(cues: DataFrame, duration: str, n: int, interval: float = 1.0, clamp: bool = False, fill: bool = False, keys: Keys = ("video_id",)) -> DataFrame:

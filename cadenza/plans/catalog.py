@@ -19,6 +19,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from . import cue_queries, frame_queries, run_queries, text_queries  # noqa: F401  they register themselves
+    from . import cue_queries, file_queries, frame_queries, run_queries, text_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES), dict(SQL)

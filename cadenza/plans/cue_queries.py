@@ -224,10 +224,10 @@ def a3_timing_report(spark, d):
 
 @query("a12_track_text", f"""
 WITH {CUES}, l AS (SELECT video_id, ord, CASE WHEN ord % 5 = 0 THEN ' ' ELSE text END AS text FROM cues)
-SELECT video_id, left(string_agg(text, chr(10) ORDER BY ord), 60) AS text FROM l WHERE text <> ' ' GROUP BY video_id""")
+SELECT video_id, left(string_agg(text, chr(10) ORDER BY ord), 4500) AS text FROM l WHERE text <> ' ' GROUP BY video_id""")
 def a12_track_text(spark, d):
     c = V.cues(spark, d).withColumn("text", F.when(F.col("ord") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), "text", F.lit("\n "))))
-    return Q.track_text(c, 60)
+    return Q.track_text(c, 4500)
 
 
 # ---- alignment

@@ -48,9 +48,48 @@ def a11_status_matrix(spark, d):
     return R.matrix(V.steps(spark, d), [f"s{i}" for i in range(1, 7)])
 
 
-@query("u5_failures", f"WITH {STEPS} SELECT video_id, step FROM steps WHERE status = 'failed'")
+@query("u5_failures", f"""
+WITH {STEPS} SELECT video_id, step FROM steps WHERE status = 'failed' AND video_id NOT IN (SELECT video_id FROM steps WHERE ord = 6 AND status = 'success')""")
 def u5_failures(spark, d):
-    return R.failures(V.steps(spark, d))
+    steps = V.steps(spark, d)
+    return R.failures(steps, current=steps.where("ord = 6 AND status = 'success'"))
+
+
+@query("f34_retry_policy", """
+WITH p AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_custkey % 5 = 0 THEN 3 ELSE o_custkey % 5 END WHEN 1 THEN o_custkey % 4 + 1 WHEN 2 THEN 3
+    ELSE CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 1 END END AS attempts,
+  CASE o_orderkey % 4 WHEN 2 THEN 2.0 ELSE (o_orderkey % 7) / 2.0 END::DOUBLE AS seconds FROM orders)
+SELECT o_orderkey, attempts::BIGINT AS attempts, k AS retry, seconds * pow(2, k) AS delay FROM p, range(0, 10) t(k) WHERE k < attempts - 1""")
+def f34_retry_policy(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    wait = F.struct(F.lit("backoff_seconds").alias("key"), (k % 7 / 2).cast("string").alias("value"))
+    entry = lambda name, v: F.map_from_entries(F.array(F.struct(F.lit(name).alias("key"), v.cast("string").alias("value")), wait))
+    config = F.when(k % 4 == 0, entry("max_attempts", c % 5)).when(k % 4 == 1, entry("max_retries", c % 4)).when(k % 4 == 3, entry("max_attempts", c % 3 - 4))
+    rows = V.table(spark, d, "orders").select("o_orderkey", config.alias("config"))
+    return R.delays(R.policies(rows, attempts=3)).select("o_orderkey", F.col("attempts").cast("long").alias("attempts"), F.col("retry").cast("long").alias("retry"), "delay")
+
+
+@query("t3_job_states", f"""
+WITH {STEPS}, e AS (SELECT video_id, ord, step, CASE WHEN (video_id + ord) % 17 = 0 THEN 'reset' WHEN (video_id + ord) % 19 = 0 THEN 'done' WHEN status IS NULL THEN 'running' ELSE status END AS status FROM steps),
+r AS (SELECT *, max(CASE WHEN status = 'reset' THEN ord END) OVER (PARTITION BY video_id) AS since FROM e),
+l AS (SELECT * FROM r WHERE since IS NULL OR ord > since),
+f AS (SELECT video_id, max(ord) AS at, arg_max(step, ord) AS failed FROM l WHERE status = 'failed' GROUP BY video_id),
+c AS (SELECT DISTINCT l.video_id FROM l JOIN f ON f.video_id = l.video_id WHERE l.ord > f.at AND (l.status IN ('running', 'done') OR (l.status = 'success' AND l.step = f.failed))),
+g AS (SELECT video_id, arg_max(status, ord) FILTER (status <> 'success') AS said, arg_max(step, ord) FILTER (status = 'success') AS won FROM l GROUP BY video_id)
+SELECT j.video_id, CASE WHEN g.said = 'done' THEN 'success' ELSE coalesce(g.said, 'pending') END AS status, g.won AS last_success_step, CASE WHEN c.video_id IS NULL THEN f.failed END AS failed_step
+FROM (SELECT DISTINCT video_id FROM steps) j LEFT JOIN g ON g.video_id = j.video_id LEFT JOIN f ON f.video_id = j.video_id LEFT JOIN c ON c.video_id = j.video_id""")
+def t3_job_states(spark, d):
+    k = F.col("video_id") + F.col("ord")
+    status = F.when(k % 17 == 0, "reset").when(k % 19 == 0, "done").otherwise(F.coalesce("status", F.lit("running")))
+    return R.job_states(V.steps(spark, d).select("video_id", F.col("ord").alias("seq"), "step", status.alias("status")))
+
+
+@query("t3_with_steps", f"""
+WITH {STEPS} SELECT j.video_id, 's' || i AS step, coalesce(s.status, 'pending') AS status
+FROM (SELECT DISTINCT video_id FROM steps) j CROSS JOIN range(1, 9) t(i) LEFT JOIN (SELECT * FROM steps WHERE video_id % 4 <> 0) s ON s.video_id = j.video_id AND s.step = 's' || i""")
+def t3_with_steps(spark, d):
+    steps = V.steps(spark, d)
+    return R.with_steps(steps.where("video_id % 4 <> 0").select("video_id", "step", "status"), steps, [f"s{i}" for i in range(1, 9)])
 
 
 @query("t3_state_upsert", f"""
@@ -94,12 +133,16 @@ def l10_better_of_two(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", R.better_of(F.lit("first"), F.lit("second"), F.col("o_orderkey") % 7, F.col("o_custkey") % 7).alias("chosen"))
 
 
-@query("t6_fit_rounds")
+_OFF = "CASE WHEN y - 780 BETWEEN 12 AND 28 THEN y ELSE greatest(640, least(1101, y + greatest(-60, least(60, 18 - (y - 780))))) END"
+
+
+@query("t6_fit_rounds", f"""
+WITH p AS (SELECT p_partkey AS ord, 700 + p_partkey % 200 AS y FROM part), one AS (SELECT ord, {_OFF} AS y FROM p), two AS (SELECT ord, {_OFF} AS y FROM one)
+SELECT ord, 'Dialogue: {{\\an2\\pos(360,' || y || ')}}x' AS line FROM two""")
 def t6_fit_rounds(spark, d):
     """Texts that start off their gap, moved over two rounds against a renderer that shifts by the position's change."""
-    import uuid
-
     from ..operators import fit as T
+    from ..sources.files import scratch
 
     start = V.table(spark, d, "part").select(F.lit("v").alias("video_id"), F.col("p_partkey").alias("ord"), (700 + F.col("p_partkey") % 200).alias("y"))
     events = start.select("video_id", "ord", F.lit(1280).alias("frame_height"), F.concat(F.lit(r"Dialogue: {\an2\pos(360,"), F.col("y").cast("string"), F.lit(")}x")).alias("line"))
@@ -108,10 +151,8 @@ def t6_fit_rounds(spark, d):
         y = F.regexp_extract("line", r"\\pos\(\d+,(\d+)\)", 1).cast("long")
         return e.select("video_id", F.col("ord").alias("index"), (y - 780).alias("gap"), F.lit("original").alias("confidence"))
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/cadenza-rounds"
-
     def cut(df):
-        path = f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+        path = scratch(spark, "rounds")
         df.write.parquet(path)
         return spark.read.parquet(path)
 

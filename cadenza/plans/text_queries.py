@@ -101,11 +101,11 @@ def f11_repeat_key(spark, d):
 
 
 @query("f12_unfence", """
-SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN trim(left(text, 40), ' ' || chr(10)) ELSE 'x' || doc_id END AS text FROM documents""")
+SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE 'x' || doc_id END AS text FROM documents""")
 def f12_unfence(spark, d):
     i = F.col("doc_id")
     body = F.concat(F.lit("x"), i.cast("string"))
-    text = F.when(i % 3 == 0, F.concat(F.lit(" ```srt\n"), body, F.lit("\n``` \n"))).when(i % 3 == 1, F.concat(F.lit("```"), F.lit(" "), body, F.lit("```"))).otherwise(F.substring("text", 1, 40))
+    text = F.when(i % 3 == 0, F.concat(F.lit(" ```srt\n"), body, F.lit("\n``` \n"))).when(i % 3 == 1, F.concat(F.lit("```"), F.lit(" "), body, F.lit("```"))).otherwise(F.col("text"))
     return _docs(spark, d).select("doc_id", T.unfence(text).alias("text"))
 
 
@@ -180,14 +180,14 @@ def p13_crash(spark, d):
 
 
 @query("a15_title_size", """
-SELECT p_partkey % 50 AS video_id, max(CASE WHEN widest <= 600 AND tall <= 330 THEN size END) AS size
-FROM (SELECT p_partkey % 50 AS p_partkey, size, max(size * (p_size % 12 + 1)) AS widest, sum(size + p_partkey % 13) + 11 * (count(*) - 1) AS tall FROM part, range(40, 61, 2) t(size) WHERE p_partkey <= 150 GROUP BY 1, 2) GROUP BY 1""")
+SELECT p_partkey AS video_id, max(CASE WHEN widest <= 600 AND tall <= 330 THEN size END) AS size
+FROM (SELECT p_partkey // 3 AS p_partkey, size, max(size * (p_size % 12 + 1)) AS widest, sum(size + p_partkey % 13) + 11 * (count(*) - 1) AS tall FROM part, range(40, 61, 2) t(size) GROUP BY 1, 2) GROUP BY 1""")
 def a15_title_size(spark, d):
     from ..operators.titles import fitting_size
 
     i = F.col("p_partkey")
     sizes = F.explode(F.sequence(F.lit(40), F.lit(60), F.lit(1))).alias("size")
-    p = V.table(spark, d, "part").where("p_partkey <= 150").select((i % 50).alias("video_id"), i.alias("line_no"), "p_size", sizes)
+    p = V.table(spark, d, "part").select(F.floor(i / 3).cast("long").alias("video_id"), i.alias("line_no"), "p_size", sizes)
     lines = p.select("video_id", "line_no", F.col("size").cast("long").alias("size"), (F.col("size") * (F.col("p_size") % 12 + 1)).alias("width"), (F.col("size") + F.col("line_no") % 13).alias("height"))
     return fitting_size(lines, 600, 330)
 
@@ -226,12 +226,30 @@ def f39_redact_key(spark, d):
     return p.select("page_id", F.col("m")["api_key"].alias("api_key"), F.col("m")["model"].alias("model"))
 
 
-@query("s13_prompt_template", "SELECT doc_id, 'Translate:' || chr(10) || left(text, 50) || chr(10) || 'END' AS prompt FROM documents")
+_HEADER_SQL = """
+SELECT p_partkey, md5('[Script Info]
+ScriptType: v4.00+
+PlayResX: ' || CASE WHEN p_partkey % 3 <> 0 THEN 300 + p_partkey % 900 ELSE 1080 END || '
+PlayResY: 1920
+WrapStyle: 2
+ScaledBorderAndShadow: yes
+YCbCr Matrix: TV.709
+
+[V4+ Styles]
+Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding
+Style: Default,Arial,38,&H00FFFFFF,&H00FFFFFF,&H00000000,&H80000000,0,0,0,0,100,100,0,0,1,2,1,2,40,40,' || p_size || ',1
+
+[Events]
+Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text
+') AS digest FROM part"""
+
+
+@query("s13_prompt_template", "SELECT doc_id, 'Translate:' || chr(10) || text || chr(10) || 'END' AS prompt FROM documents")
 def s13_prompt_template(spark, d):
-    return _docs(spark, d).select("doc_id", T.fill_template("Translate:\n{{srt}}\nEND", F.substring("text", 1, 50)).alias("prompt"))
+    return _docs(spark, d).select("doc_id", T.fill_template("Translate:\n{{srt}}\nEND", F.col("text")).alias("prompt"))
 
 
-@query("k3_ass_header")
+@query("k3_ass_header", _HEADER_SQL)
 def k3_ass_header(spark, d):
     from ..sinks import ass_header
 

@@ -75,16 +75,19 @@ COMPONENTS = """components AS (
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
-    """Runs: a customer's orders are the steps of a job, in order."""
+    """Runs: a customer's orders in order, six to a job, are its steps."""
     o = table(spark, d, "orders")
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
     k = F.col("o_orderkey")
     status = F.when(k % 5 == 0, "failed").when(k % 7 == 0, None).otherwise("success")
-    return o.select(F.col("o_custkey").alias("video_id"), n.alias("ord"), k).where("ord <= 6").select("video_id", "ord", F.concat(F.lit("s"), F.col("ord").cast("string")).alias("step"), (k % 11 != 0).alias("enabled"), (k % 23 == 0).alias("overwrite"), status.alias("status"), F.concat(F.lit("h"), (k % 2).cast("string")).alias("stored_hash"), F.when(k % 13 == 0, "hx").otherwise(F.concat(F.lit("h"), (k % 2).cast("string"))).alias("hash"))
+    tall = o.select(F.col("o_custkey"), (n - 1).alias("n"), k)
+    tall = tall.select((F.col("o_custkey") * 1_000_000 + F.floor(F.col("n") / 6)).cast("long").alias("video_id"), (F.col("n") % 6 + 1).alias("ord"), k)
+    return tall.select("video_id", "ord", F.concat(F.lit("s"), F.col("ord").cast("string")).alias("step"), (k % 11 != 0).alias("enabled"), (k % 23 == 0).alias("overwrite"), status.alias("status"), F.concat(F.lit("h"), (k % 2).cast("string")).alias("stored_hash"), F.when(k % 13 == 0, "hx").otherwise(F.concat(F.lit("h"), (k % 2).cast("string"))).alias("hash"))
 
 
 STEPS = """steps AS (
   SELECT video_id, ord, 's' || ord AS step, k % 11 <> 0 AS enabled, k % 23 = 0 AS overwrite,
     CASE WHEN k % 5 = 0 THEN 'failed' WHEN k % 7 = 0 THEN NULL ELSE 'success' END AS status, 'h' || (k % 2) AS stored_hash,
     CASE WHEN k % 13 = 0 THEN 'hx' ELSE 'h' || (k % 2) END AS hash
-  FROM (SELECT o_custkey AS video_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord FROM orders) WHERE ord <= 6)"""
+  FROM (SELECT o_custkey * 1000000 + n // 6 AS video_id, n % 6 + 1 AS ord, o_orderkey AS k
+        FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)))"""

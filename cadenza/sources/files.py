@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,6 +15,16 @@ from ..functions import timecode as C
 SUFFIXES = (".mp4", ".mov", ".mkv")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a local session that names none gets one of its own, on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+    return f"{root.rstrip('/')}/cadenza/{name}-{uuid.uuid4().hex}"
+
+
 def list_videos(spark: SparkSession, folder: str, single: str | None = None) -> DataFrame:
     """``path, length`` of a folder's videos in order, not of its subfolders; a single path comes first. File contents are not read."""
     where = single or folder

@@ -140,7 +140,12 @@ def test_samplers(spark):
     assert S.near_centre(c, "t", 2, 1.0, keys=keys).first().seconds == [1.5, 2.6]
     assert S.near_centre(c, "t", 3, 100.0, fill=True, keys=keys).first().seconds == [1.5, 2.6, 9.45]
     assert [r.ord for r in S.strided(c, 2).orderBy("ord").collect()] == [1, 3]
-    assert S.ratios(5, "middle_nearby") == [0.3333333333333333, 0.45, 0.5, 0.55, 0.6666666666666666]
+    row = c.select(*(S.shares(F.lit(1.0), n, how).alias(f"{how}{n}") for how in ("even", "middle_nearby") for n in (1, 2, 3, 5, 6))).first()
+    assert row["middle_nearby5"] == [0.3333333333333333, 0.45, 0.5, 0.55, 0.6666666666666666] and row["middle_nearby6"] == [0.25, 0.45, 0.5, 0.55, 0.75]
+    assert (row["middle_nearby1"], row["middle_nearby2"], row["middle_nearby3"]) == ([0.5], [0.45, 0.5], [0.45, 0.5, 0.55])
+    assert row["even3"] == [0.1, 0.5, 0.9] and row["even1"] == [0.5] and row["even5"] == [k / 6 for k in range(1, 6)]
+    spread = [c.repartition(n).select(S.scattered(F.lit(60.0), 4, 7).alias("s")).first().s for n in (1, 3)]
+    assert spread[0] == spread[1] == sorted(spread[0]) and 4.8 <= spread[0][0] <= spread[0][-1] <= 55.2
 
 
 def test_quality_of_order_not_extremes(spark):

@@ -71,7 +71,22 @@ def test_retry_and_fallback():
         R.attempt(lambda: (_ for _ in ()).throw(ValueError("bad key")), R.Retry(3), sleep=waits.append)
     assert R.first_that_works([work, lambda: 1 / 0]) == "ok"
     assert R.first_that_works([lambda: 1 / 0], str) == "division by zero"
-    assert R.Retry.of({"max_retries": 2}).attempts == 3 and R.Retry.of({"max_attempts": 0}).attempts == 1
+
+
+def test_policies(spark):
+    rows = [(1, {"max_retries": "2"}), (2, {"max_attempts": "0"}), (3, {"max_attempts": "-4", "max_retries": "9"}), (4, None), (5, {"max_retries": None, "backoff_seconds": "0.5", "retry_backoff_multiplier": "3"}), (6, {"max_attempts": "4"})]
+    got = R.policies(spark.createDataFrame(rows, "id int, config map<string,string>"))
+    assert {r.id: (r.attempts, r.seconds, r.factor) for r in got.collect()} == {1: (3, 2.0, 2.0), 2: (1, 2.0, 2.0), 3: (1, 2.0, 2.0), 4: (1, 2.0, 2.0), 5: (1, 0.5, 3.0), 6: (4, 2.0, 2.0)}
+    assert sorted((r.id, r.delay) for r in R.delays(got).collect()) == [(1, 2.0), (1, 4.0), (6, 2.0), (6, 4.0), (6, 8.0)]
+
+
+def test_job_states(spark):
+    events = [(1, 1, "a", "running"), (1, 2, "a", "success"), (1, 3, "b", "running"), (1, 4, "b", "failed"), (2, 1, "a", "failed"), (2, 2, "a", "success"), (3, 1, "a", "failed"), (3, 2, None, "done"), (4, 1, "a", "failed"), (4, 2, None, "reset"), (5, 1, "a", "failed"), (5, 2, "b", "success")]
+    got = R.job_states(spark.createDataFrame(events, "video_id int, seq int, step string, status string"))
+    assert {r.video_id: (r.status, r.last_success_step, r.failed_step) for r in got.collect()} == {1: ("failed", "a", "b"), 2: ("failed", "a", None), 3: ("success", None, None), 4: ("pending", None, None), 5: ("failed", "b", "a")}
+    state = spark.createDataFrame([(1, "a", "success", "h"), (1, "old", "failed", None)], "video_id int, step string, status string, hash string")
+    full = R.with_steps(state, spark.createDataFrame([(1,), (2,)], "video_id int"), ["a", "b"])
+    assert sorted((r.video_id, r.step, r.status) for r in full.collect()) == [(1, "a", "success"), (1, "b", "pending"), (1, "old", "failed"), (2, "a", "pending"), (2, "b", "pending")]
 
 
 def test_hash_ignores_force_and_keys():
