@@ -417,7 +417,20 @@ def w14_seen_near(spark, d):
     return S.seen_near(h, i)
 
 
-@query("e2_cleaned_tracks")
+@query("e2_cleaned_tracks", f"""
+WITH RECURSIVE {_CLAMPED}, walk AS (
+  SELECT video_id, ord, 1::BIGINT AS n, start_ms, end_ms, text FROM clamped WHERE ord = 1
+  UNION ALL
+  SELECT video_id, ord, CASE WHEN short THEN n ELSE n + 1 END, CASE WHEN short THEN ls ELSE s END, CASE WHEN short THEN greatest(le, e) ELSE e END, CASE WHEN short THEN lt || text ELSE text END
+  FROM (SELECT *, e - s < 800 AS short FROM (
+    SELECT c.video_id, c.ord, w.n, w.start_ms AS ls, w.end_ms AS le, w.text AS lt, c.text,
+      CASE WHEN c.start_ms < w.end_ms THEN w.end_ms + 1 ELSE c.start_ms END AS s, CASE WHEN c.start_ms < w.end_ms THEN greatest(c.end_ms, w.end_ms + 801) ELSE c.end_ms END AS e
+    FROM walk w JOIN clamped c ON c.video_id = w.video_id AND c.ord = w.ord + 1))),
+one AS (SELECT video_id, n AS ord, arg_max(start_ms, walk.ord) AS start_ms, arg_max(end_ms, walk.ord) AS end_ms, arg_max(text, walk.ord) AS text FROM walk GROUP BY video_id, n),
+new AS (SELECT *, CASE WHEN text IS DISTINCT FROM lag(text) OVER (PARTITION BY video_id ORDER BY ord) OR ord = 1 THEN 1 ELSE 0 END AS new FROM one),
+run AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY ord) AS run FROM new),
+kept AS (SELECT *, count(*) OVER (PARTITION BY video_id, run) >= 4 AND max(end_ms) OVER (PARTITION BY video_id, run) - min(start_ms) OVER (PARTITION BY video_id, run) >= 4000 AS gone FROM run)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY ord) AS ord, start_ms, end_ms, text FROM kept WHERE NOT gone""")
 def e2_cleaned_tracks(spark, d):
     return Q.cleaned(V.cues(spark, d)).select("video_id", "ord", "start_ms", "end_ms", "text")
 
