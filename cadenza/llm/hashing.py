@@ -101,10 +101,3 @@ def batches(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.n
         part = offsets[lo : hi + 1]
         h, at, _, _ = words(data[part[0] : part[-1]], part - part[0])
         yield lo, hi, h, at
-
-
-def crc32_of_ids(ids: pa.Array) -> np.ndarray:
-    """crc32 of each id's decimal text; a null id counts as empty text."""
-    import zlib
-
-    return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) for i in ids.to_pylist()), dtype=np.int64, count=len(ids))

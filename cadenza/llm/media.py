@@ -9,6 +9,7 @@ corrects the declared type, confirmed hits elsewhere are carved.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -65,7 +66,7 @@ def _wav(b: bytes, i: int) -> Media | None:
         k += 8 + size + size % 2
     if form is None or data is None or form[3] != form[2] * form[4] or form[4] * 8 != form[1] * form[5] or (form[4] and (data[1] - data[0]) % form[4]):
         return None
-    return Media(i, end + end % 2 * 0, "audio/wav", data)
+    return Media(i, end, "audio/wav", data)
 
 
 def _png(b: bytes, i: int) -> Media | None:
@@ -146,9 +147,19 @@ def _bmp(b: bytes, i: int) -> Media | None:
     return Media(i, i + size, "image/bmp") if ok else None
 
 
+_PDF_HEAD = re.compile(rb"%PDF-[0-9]\.[0-9]")
+_PDF_TAIL = re.compile(rb"(?:startxref\s+([0-9]+)\s+)?%%EOF")
+
+
 def _pdf(b: bytes, i: int) -> Media | None:
-    k = b.find(b"%%EOF", i)
-    return Media(i, k + 5, "application/pdf") if k >= 0 and b[i + 5 : i + 6].isdigit() else None
+    """A header with a version, and a tail; where the tail gives the place of a table, a table or an object has to stand there."""
+    if not _PDF_HEAD.match(b, i):
+        return None
+    for m in _PDF_TAIL.finditer(b, i):
+        at = i + int(m[1] or 0)
+        if m[1] is None or (at < m.start() and re.match(rb"xref|[0-9]+\s+[0-9]+\s+obj", b[at : at + 32])):
+            return Media(i, m.end(), "application/pdf")
+    return None
 
 
 def _zip(b: bytes, i: int) -> Media | None:
@@ -159,9 +170,30 @@ def _zip(b: bytes, i: int) -> Media | None:
     return Media(i, k + 22 + note, "application/zip") if at + size == k - i and k + 22 + note <= len(b) else None
 
 
+def _crc8(b: bytes) -> int:
+    c = 0
+    for x in b:
+        c ^= x
+        for _ in range(8):
+            c = (c << 1 ^ 7 if c & 128 else c << 1) & 255
+    return c
+
+
 def _flac(b: bytes, i: int) -> Media | None:
-    ok = i + 8 <= len(b) and b[i + 4] & 127 == 0 and int.from_bytes(b[i + 5 : i + 8], "big") == 34
-    return Media(i, len(b), "audio/flac") if ok else None
+    """Blocks of metadata by their lengths, then a frame whose header fits its checksum. Frames do not tell their lengths: the medium reaches to the end of the blob."""
+    k, last = i + 4, False
+    while not last:
+        if k + 4 > len(b):
+            return None
+        last, kind, size = bool(b[k] & 128), b[k] & 127, int.from_bytes(b[k + 1 : k + 4], "big")
+        if (kind == 0) != (k == i + 4) or (kind == 0 and size != 34) or kind > 6:
+            return None
+        k += 4 + size
+    if k + 6 > len(b) or b[k] != 0xFF or b[k + 1] & 0xFE != 0xF8 or not b[k + 2] >> 4 or b[k + 2] & 15 == 15 or b[k + 3] & 1 or b[k + 3] >> 4 > 10:
+        return None
+    number = 1 if b[k + 4] < 128 else 8 - (b[k + 4] ^ 255).bit_length()
+    end = k + 4 + number + {6: 1, 7: 2}.get(b[k + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[k + 2] & 15, 0)
+    return Media(i, len(b), "audio/flac") if end < len(b) and _crc8(b[k:end]) == b[end] else None
 
 
 def _ogg(b: bytes, i: int) -> Media | None:
@@ -262,29 +294,42 @@ def inspect(blobs: DataFrame) -> DataFrame:
     return blobs.select(F.col("id").cast("long").alias("id"), F.col("content").cast("binary").alias("content"), F.col("declared").cast("string").alias("declared")).mapInArrow(_inspect, schema)
 
 
-def _stored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as sounds under a plain declared type, sniffed and read back; only digests leave."""
+def _sounds(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as sounds."""
     for batch in it:
-        rows: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for text in batch.column("text").to_pylist():
-            raw = (text or "").encode()
-            blob = wav(padded(raw))
-            found = sniff(blob)
-            top = next(m for m in found if m.start == 0)
-            payload = blob[slice(*top.payload)]
-            rows["n_bytes"].append(len(raw))
+        for lo in range(0, batch.num_rows, 64):  # a few blobs at a time
+            some = batch.slice(lo, 64)
+            raw = [(t or "").encode() for t in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [some.column("doc_id"), pa.array([wav(padded(b)) for b in raw], pa.large_binary()), pa.array(["text/plain"] * len(raw), pa.string()), pa.array([len(b) for b in raw], pa.int64())],
+                names=["id", "content", "declared", "n_bytes"],
+            )
+
+
+def _digested(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sniffs and reads back what is stored, by ``_inspect``; only digests leave."""
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    for batch in it:
+        (seen,) = _inspect(iter([batch]))
+        rows: dict[str, list] = {k: [] for k in names}
+        for blob, kind, changed, length, payload, inner in zip(batch.column("content").to_pylist(), *(seen.column(f.name).to_pylist() for f in _OUT), strict=True):
+            at = blob.index(b"data", 36) + 8
             rows["payload_bytes"].append(len(payload))
             rows["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
             rows["tail_crc32"].append(zlib.crc32(payload[-16:]))
-            rows["media_bytes"].append(top.end)
-            rows["media_sha256"].append(hashlib.sha256(blob[: top.end]).hexdigest())
-            inner = [m for m in found if m is not top]
-            rows["feature"].append(f"{top.kind};samples={len(payload)};embedded={len(inner)}" + "".join(f";{m.kind}@{m.start - top.payload[0]}+{m.end - m.start}" for m in inner))
+            rows["media_bytes"].append(length)
+            rows["media_sha256"].append(hashlib.sha256(blob[:length]).hexdigest())
+            carved = "".join(f";{m['media_type']}@{m['start'] - at}+{m['length']}:{hashlib.sha256(m['content']).hexdigest()[:16]}" for m in inner)
+            rows["feature"].append(f"{kind};corrected={int(changed)};samples={len(payload)};embedded={len(inner)}{carved}")
         kinds = {k: pa.string() if k in ("payload_sha256", "media_sha256", "feature") else pa.int64() for k in rows}
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, kinds[k]) for k, v in rows.items())], names=["doc_id", *rows])
+        yield pa.RecordBatch.from_arrays([seen.column("id"), batch.column("n_bytes"), *(pa.array(v, kinds[k]) for k, v in rows.items())], names=["doc_id", "n_bytes", *rows])
+
+
+def _stored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _digested(_sounds(it))
 
 
 def op7_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Every text of ``documents`` stored as 8-bit sound, sniffed, carved and read back."""
+    """Every text of ``documents`` stored as 8-bit sound declared as plain text, its type corrected, carved and read back."""
     docs = keyed_texts(table(spark, sf_dir, "documents"))
     return docs.mapInArrow(_stored, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -58,6 +58,7 @@ class Pieces:
         self.cache: dict[str, str] = {}
         self.changed: dict[str, str] = {}
         self.most = cache
+        self.room = 64 * cache  # characters of chunks that may be kept
 
     def normalise(self, text: str) -> str:
         """As an identity normaliser with a dummy prefix and kept spaces does."""
@@ -145,14 +146,16 @@ class Pieces:
             if (ids if k else self.merge(SPACE + c)) != sure:
                 raise ValueError(f"the agenda and the library differ on {c!r}")
             self.cache[c] = " ".join(map(str, ids))
+            self.room -= len(c)
             if (said := self.say(ids)) != c.replace(SPACE, " "):
                 self.changed[c] = said
 
     def batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """For each text: its ids with the end id, as decimals joined by spaces, and the text they decode to."""
-        if len(self.cache) > self.most:
+        if len(self.cache) > self.most or self.room < 0:
             self.cache.clear()
             self.changed.clear()
+            self.room = 64 * self.most
         split = [self.chunks(self.normalise(t)) if t else [] for t in texts]
         if new := set().union(*split).difference(self.cache):
             self.learn(new)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one is set only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``; a private one is set only where a local session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             root = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="cadenza-")
             spark.sparkContext.setCheckpointDir(root)
