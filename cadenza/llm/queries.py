@@ -15,6 +15,7 @@ _MODULES = {
     "op8_kneser_ney": "ngram",
     "op9_quality": "quality",
     "op10_best_two_fit": "packing",
+    "op11_token_cuts": "cuts",
 }
 
 
