@@ -16,6 +16,8 @@ _MODULES = {
     "op9_quality": "quality",
     "op10_best_two_fit": "packing",
     "op11_token_cuts": "cuts",
+    "op12_language": "language",
+    "op13_hard_negatives": "negatives",
 }
 
 
@@ -34,5 +36,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from .chat import OP4_SQL
     from .exact_dedup import OP2_SQL
+    from .negatives import OP13_SQL
 
-    return {"op2_exact_dedup": OP2_SQL, "op4_tool_calls": OP4_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_tool_calls": OP4_SQL, "op13_hard_negatives": OP13_SQL}
