@@ -43,15 +43,15 @@ CONTEXT = 16
 
 @dataclass(frozen=True)
 class Languages:
-    """apart: one in so many labelled rows only calibrates. sample: calibrating rows, at most. keep: the share of a
+    """apart: one in so many labelled rows only calibrates. sample: calibrating rows, about so many at most. keep: the share of a
     language's calibrating rows that is not rejected. stretch: symbols looked up at a time. file: entries of a file. gather: grams a task holds."""
 
     apart: int = 16
     sample: int = 20_000
     keep: float = 0.995
-    stretch: int = 4 << 20
+    stretch: int = 1 << 20
     file: int = 1 << 22
-    gather: int = 4 << 20
+    gather: int = 1 << 20
 
 
 _TABLE: dict[str, np.ndarray] = {}
@@ -92,8 +92,13 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return spaced[keep], sizes[np.append(first, len(spaced))], np.diff(letters[at])
 
 
+def entry(kind: np.ndarray | int, a: np.ndarray | int, s: np.ndarray) -> np.ndarray:
+    """Hash of a gram or a context."""
+    return hashing.mix(hashing.mix(np.asarray(a).astype(U64) * _K + np.asarray(kind).astype(U64)) + s)
+
+
 def grams(seq: np.ndarray, at: np.ndarray, stretch: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Stretches of a block's four-grams: each distinct one's first symbol and last three, which one stands where, and each place's document."""
+    """Stretches of a block's four-grams: each distinct one's first symbol and last three, in the order of their hashes, which one stands where, and each place's document."""
     place = np.ones(len(seq), dtype=bool)
     for k in range(3):
         place[at[:-1] + k] = False
@@ -102,15 +107,10 @@ def grams(seq: np.ndarray, at: np.ndarray, stretch: int) -> Iterator[tuple[np.nd
         t = places[lo : lo + stretch]
         a = seq[t - 3].astype(U64)
         s = (seq[t - 2].astype(U64) << U64(2 * BITS)) | (seq[t - 1].astype(U64) << U64(BITS)) | seq[t]
-        _, one, back = np.unique(hashing.mix(a * _K + s), return_index=True, return_inverse=True)
+        _, one, back = np.unique(entry(4, a, s), return_index=True, return_inverse=True)
         yield a[one], s[one], back, np.searchsorted(at, t, side="right") - 1
 
 
-def entry(kind: np.ndarray | int, a: np.ndarray | int, s: np.ndarray) -> np.ndarray:
-    """Hash of a gram or a context."""
-    return hashing.mix(hashing.mix(np.asarray(a).astype(U64) * _K + np.asarray(kind).astype(U64)) + s)
-
-
 def _count(p: Languages):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -119,7 +119,7 @@ def _count(p: Languages):
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 a, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                _, one, back = np.unique(hashing.mix(a * _K + s), return_index=True, return_inverse=True)
+                _, one, back = np.unique(entry(4, a, s), return_index=True, return_inverse=True)
                 n = np.bincount(back, weights=n).astype(np.int64)
                 for lo in range(0, len(one), 1 << 16):
                     k = one[lo : lo + (1 << 16)]
@@ -223,7 +223,6 @@ class _Arrays:
         for k, (keys, values) in enumerate(self.parts):
             rows = np.flatnonzero(deal == k)
             if len(keys) and len(rows):
-                rows = rows[np.argsort(h[rows])]
                 at = np.minimum(np.searchsorted(keys, h[rows]), len(keys) - 1)
                 there = keys[at] == h[rows]
                 out[rows[there]] = values[at[there]]
@@ -297,6 +296,10 @@ def fit(labelled: DataFrame, p: Languages = Languages()) -> Model:
     rows = labelled.where("lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     n = rows.count()
     apart = F.pmod(F.xxhash64(F.lit("apart"), "doc_id", "text"), F.lit(max(p.apart, -(-n // p.sample)))) == 0
+    aside = rows.where(apart)
+    many = aside.count()
+    if many > 2 * p.sample:  # copies of one row are all set aside or none is
+        aside = aside.where(F.rand(0) < p.sample / many)
     counted = rows.where(~apart | F.lit(n < 4 * p.apart)).mapInArrow(_count(p), "lang string, a long, s long, n long")
     seen = written(counted.groupBy("lang", "a", "s").agg(F.sum("n").alias("c")), "grams")
     languages = [r["lang"] for r in seen.select("lang").distinct().sort("lang").limit(4097).collect()]
@@ -323,14 +326,14 @@ def fit(labelled: DataFrame, p: Languages = Languages()) -> Model:
     hashed = entries.mapInArrow(_hashed(languages, model.files), "lang int, file int, h long, p float")
     hashed.groupBy("lang", "file").applyInArrow(_store(model.folder), "n long").agg(F.sum("n")).collect()
     dropped(*made)
-    return _calibrated(model, rows.where(apart).limit(p.sample), p)
+    return _calibrated(model, aside, p)
 
 
 def _calibrated(model: Model, rows: DataFrame, p: Languages) -> Model:
     """With the temperature that makes the rows' own languages likeliest and each language's limit of cross-entropy; a language without rows has none."""
     if not model.languages:
         return model
-    found = rows.mapInArrow(_measure(model, p), "lang string, cross array<double>").toArrow()  # at most p.sample rows
+    found = rows.mapInArrow(_measure(model, p), "lang string, cross array<double>").toArrow()  # about p.sample rows at most
     number = {lang: k for k, lang in enumerate(model.languages)}
     own = np.array([number.get(x, -1) for x in found.column("lang").to_pylist()], dtype=np.int64)
     cross = np.array(found.column("cross").to_pylist(), dtype=float).reshape(-1, len(model.languages))[own >= 0]
