@@ -234,6 +234,8 @@ def fitted(docs: DataFrame, labels: DataFrame, p: Quality = Quality()):
     docs = spread(docs)
     vectors = word_vectors(docs, p)
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where((fold(F.col("doc_id"), 3) != 1) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    # Only labels of documents that are there count towards the bound.
+    use = use.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     use = use.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(p.sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(use.select("doc_id").distinct()), "doc_id", "left_semi")
     held = spark.sparkContext.broadcast(vectors)

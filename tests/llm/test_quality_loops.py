@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cadenza.llm import hashing
 from cadenza.llm.quality import Quality, classify, train
@@ -105,3 +106,15 @@ def test_scores_against_loops(spark):
     assert len(got) == len(rows)
     for (i, _), w in zip(rows, want, strict=True):
         assert abs(got[i] - w) < 2e-3, i
+
+
+def test_labels_without_a_document_take_no_place(spark):
+    """The bound is on labels of documents that are there: the model is the same with many labels of others."""
+    from cadenza.llm.quality import Quality, classify
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    others = spark.range(10_000_000, 10_003_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    p = Quality(sample=40)
+    one, two = ({r.doc_id: r.score for r in classify(docs, rows, p).collect()} for rows in (labels, labels.unionByName(others.select("doc_id", F.col("quality").cast(dict(labels.dtypes)["quality"]).alias("quality")))))
+    assert one == two and len(set(one.values())) > 10
