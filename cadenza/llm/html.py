@@ -54,6 +54,7 @@ CLOSES = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", frozens
 MAIN = frozenset("article main".split())
 NAMED_MAIN = frozenset("article main content post entry story".split())
 _RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>?", re.I) for tag in RAW}
+_OPENING = BLOCK | LEFT_OUT | APART | {""}
 _INLINE_TOP = frozenset(("article", "section", "div", "main", "body", "td", "table", "blockquote", "nav", "header", "footer", "aside", "form"))
 
 
@@ -86,7 +87,7 @@ def parse(html: str) -> Node:
     def say(text: str) -> None:
         if text and not text.isspace():
             stack[-1].children.append(Node("#", "#", text))
-        elif text and stack[-1].children:
+        elif text and (stack[-1].children or stack[-1].tag not in _OPENING):  # white space parts words wherever no block begins
             stack[-1].children.append(Node(" ", " ", " "))
 
     last = len(html)

@@ -57,3 +57,10 @@ def test_pages_that_repeat_each_other_lose_nothing(spark):
     page = "<article><h1>T{0}</h1><div class=b><p>the whole text of the page</p></div><div class=c><p>more</p></div></article>"
     assert host_texts(spark, [page.format(1)] * 3) == ["T1\nthe whole text of the page\nmore"] * 3
     assert all("the whole text" in t for t in host_texts(spark, [page.format(i) for i in range(3)]))
+
+
+def test_white_space_between_inline_elements_parts_words():
+    from cadenza.llm.html import main_text
+
+    page = "<html><body><article><p><b>one</b><i> <u>two</u></i><span>\n<em>three</em></span></p><ul> <li> <a> x</a></li> </ul></article></body></html>"
+    assert main_text(page, None) == "one two three\nx"
