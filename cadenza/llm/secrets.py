@@ -81,12 +81,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 class _Layer:
     """pieces: ``(first character, start, end, linear)`` of stretches of the layer: a linear one came from the original
-    character by character, another one as a whole. more: the bytes behind a window of a stream. at: its place there."""
+    character by character, another one as a whole. more: the bytes behind a window of a stream. at: its place there.
+    stream: a digest of all the stream holds, where that is more than one window."""
 
-    __slots__ = ("at", "firsts", "more", "pieces", "text")
+    __slots__ = ("at", "firsts", "more", "pieces", "stream", "text")
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]], at: int = 0, more: Callable[[], Iterator[bytes]] | None = None):
-        self.text, self.pieces, self.at, self.more = text, pieces, at, more
+    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]], at: int = 0, more: Callable[[], Iterator[bytes]] | None = None, stream: bytes = b""):
+        self.text, self.pieces, self.at, self.more, self.stream = text, pieces, at, more, stream
         self.firsts = [p[0] for p in pieces]
 
     def place(self, a: int, b: int) -> tuple[int, int]:
@@ -170,21 +171,47 @@ def _broken() -> tuple:
     return (zlib.error, OSError, EOFError, ValueError, LZMAError)
 
 
+#: Bytes fed to a reader at a time: gzip and zlib, whose readers can be copied and so step back from a fault, and others.
+_STEP, _SMALL_STEP = 1 << 12, 1 << 6
+
+
 def _unpacked(packed: Iterator[bytes], most: int) -> Iterator[bytes]:
-    """What compressed bytes hold, at most ``most`` bytes at a time, up to their end or the first fault."""
+    """What compressed bytes hold, at most ``most`` bytes at a time, up to their end or the first fault: all that comes before it, also if only a checksum is wrong."""
     reader = None
-    try:
-        for feed in packed:
-            reader = reader or _opened(bytes(feed[:6]))
-            while True:
-                out = reader.decompress(feed, most)
-                feed = getattr(reader, "unconsumed_tail", b"")
-                if out:
+    for whole in packed:
+        reader = reader or _opened(bytes(whole[:6]))
+        copies = hasattr(reader, "copy")
+        step = _STEP if copies else _SMALL_STEP
+        for at in range(0, len(whole), step):
+            feed = whole[at : at + step]
+            saved, told = reader.copy() if copies else None, 0
+            try:
+                for out in _fed(reader, feed, most):
+                    told += len(out)
                     yield out
-                if reader.eof:
-                    return
-                if not feed and len(out) < most and getattr(reader, "needs_input", True):
-                    break
+            except _broken():
+                if saved is not None:
+                    yield from _skipped(_bytewise(saved, feed, most), told)
+                return
+            if reader.eof:
+                return
+
+
+def _fed(reader, feed: bytes, most: int) -> Iterator[bytes]:
+    while True:
+        out = reader.decompress(feed, most)
+        feed = getattr(reader, "unconsumed_tail", b"")
+        if out:
+            yield out
+        if reader.eof or (not feed and len(out) < most and getattr(reader, "needs_input", True)):
+            return
+
+
+def _bytewise(reader, feed: bytes, most: int) -> Iterator[bytes]:
+    """The output of a feed with a fault, up to it."""
+    try:
+        for k in range(len(feed)):
+            yield from _fed(reader, feed[k : k + 1], most)
     except _broken():
         return
 
@@ -271,11 +298,21 @@ def _unwrapped(layer: _Layer, scan: Scan) -> Iterator[_Layer]:
             raw = memoryview(text.encode("latin-1", "replace"))
         packed = raw[m.start() :]
         opened = lambda packed=packed: _unpacked(chain((packed[:4096], packed[4096:]), layer.more() if layer.more else ()), scan.most)
-        place = None
-        for at, window in _windows(opened, scan):
-            place = place or (0, *layer.place(m.start(), m.start() + (max(1, _packed(packed)) if len(layer.pieces) > 1 or layer.pieces[0][3] else 1)), False)
+        place, stream = None, b""
+        windows = _windows(opened, scan)
+        ahead = next(windows, None)
+        while ahead:
+            at, window = ahead
+            ahead = next(windows, None)
+            if place is None:
+                place = (0, *layer.place(m.start(), m.start() + (max(1, _packed(packed)) if len(layer.pieces) > 1 or layer.pieces[0][3] else 1)), False)
+                if ahead:  # its windows are those of this stream, not of another one that begins alike
+                    digest = hashlib.blake2b(digest_size=16)
+                    for part in opened():
+                        digest.update(part)
+                    stream = digest.digest()
             if _worth(window):
-                yield _Layer(window.decode("latin-1"), [place], at, lambda opened=opened, n=at + len(window): _skipped(opened(), n))
+                yield _Layer(window.decode("latin-1"), [place], at, lambda opened=opened, n=at + len(window): _skipped(opened(), n), stream)
 
 
 def all_spans(text: str, scan: Scan = Scan()) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
@@ -285,7 +322,7 @@ def all_spans(text: str, scan: Scan = Scan()) -> tuple[list[tuple[str, int, int]
     base = sorted(base_spans(text), key=key)
     if not any(c in text for c in "%\\\0") and not any(p.search(text) for p in (_BASE64, _WRAPPED, _MAGIC)):
         return base, base, 0
-    mark = lambda x: hashlib.blake2b(f"{x.place(0, len(x.text))}:{x.at}:".encode() + x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    mark = lambda x: hashlib.blake2b(f"{x.place(0, len(x.text))}:{x.at}:".encode() + x.stream + x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     top = _Layer(text, [(0, 0, len(text), True)])
     seen, found, layers = {mark(top)}, set(base), 0
     work = [_unwrapped(top, scan)]
@@ -293,7 +330,7 @@ def all_spans(text: str, scan: Scan = Scan()) -> tuple[list[tuple[str, int, int]
         got = next(work[-1], None)
         if got is None:
             work.pop()
-        # The same decoded text at another place is another finding; at the same place it is a cycle.
+        # The same decoded text at another place, or as a window of another stream, is another finding; else it is a cycle.
         elif got.text and (own := mark(got)) not in seen:
             seen.add(own)
             layers += 1
