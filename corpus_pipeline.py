@@ -53,7 +53,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row goes on: of the longest original, then the smallest id, rows without an id last.
 
     Null and empty texts, and those of white space only, are one group. Of rows
-    that repeat the id and the length, the one whose text comes first goes on.
+    that repeat the id and the length, the one whose text comes first goes on,
+    then the one whose columns, as JSON, do.
     """
     decided = written(exact_duplicates(docs).select("doc_id", "text_sha256", "kept"), "exact")
     same = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), IGNORED, "")
@@ -65,12 +66,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return to.join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(of)), how)
 
     left = meet(decided.where("NOT kept"), "left_anti", rows)
-    # Rows that repeat the kept id: equal ones collapse before one of the longest is taken.
+    # Rows that repeat the kept id: one of them is left, by what they hold.
     again = decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
     if not again.isEmpty():
-        order = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.length("text").desc(), "text"))
-        one = meet(again, "left_semi", left).dropDuplicates().withColumn(number, order).where(F.col(number) == 1).drop(number)
-        left = meet(again, "left_anti", left).unionByName(one)
+        left = written(left.withColumn(number, F.monotonically_increasing_id()), "repeated")
+        whole = F.to_json(F.struct(*_all(docs)))
+        first = F.min(F.struct((-F.length("text")).alias("points"), F.col("text").alias("text"), whole.alias("whole"), F.col(number).alias("number")))
+        one = meet(again, "left_semi", left).groupBy("doc_id", sha).agg(first.alias("first")).select(F.col("first.number").alias(of))
+        left = meet(again, "left_anti", left).unionByName(meet(again, "left_semi", left).join(one.hint("shuffle_hash"), F.col(number) == F.col(of), "left_semi"))
     return left.select(*_all(docs))
 
 
