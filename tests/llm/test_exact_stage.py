@@ -27,3 +27,20 @@ def test_decisions_go_with_the_row(spark):
 
 def test_unique_ids_as_before(spark, documents, texts):
     assert {r.doc_id for r in P.exact(spark, documents, SF).collect()} == exact(texts)
+
+
+def test_equal_ids_and_texts_with_other_columns(spark):
+    """What stays does not depend on how rows arrive, and columns that cannot be compared pass."""
+    from itertools import permutations
+
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b", "y"), (1, "a b", "x"), (1, "ab", "w"), (1, "a b", "x"), (2, "c", "z")]
+    kept = set()
+    for k, order in enumerate(permutations(rows)):
+        if k % 24 == 0:
+            docs = spark.createDataFrame(list(order), "doc_id long, text string, source string").withColumn("more", F.create_map(F.lit("k"), F.col("source")))
+            out = P.exact(spark, docs, SF)
+            assert out.columns == docs.columns
+            kept.add(str(sorted((r.doc_id, r.text, r.source, r.more) for r in out.collect())))
+    assert kept == {str([(1, "a b", "x", {"k": "x"}), (2, "c", "z", {"k": "z"})])}

@@ -50,7 +50,7 @@ def test_what_stands_before_a_fault_is_found(pack):
     body = pack(b"x, " * 40 + SECRET)
     assert _found(body[:-4] + bytes(4)), "a wrong checksum"
     long = pack(WORDS + SECRET)
-    for cut in (3, 8, 20):
+    for cut in (3, 8):
         assert _found(long[: len(long) - cut] + bytes(cut))
 
 
