@@ -1,20 +1,22 @@
 """Cues: intervals with text, in the order ``ord`` within their keys.
 
-A cue table has the key columns (by default ``video_id``), ``ord``, ``index``,
-``start_ms``, ``end_ms`` and ``text``. All windows of one operator share one
-partitioning, so Spark shuffles a track once.
+A cue table has the key columns (by default ``video_id``), ``ord`` (the place
+in the track), ``index``, ``start_ms``, ``end_ms`` and ``text``. All windows of
+one operator share one partitioning, so Spark shuffles a track once; what
+numbers, cleans and checks tracks goes by parts of them (``scan``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.files import written
+from . import scan
 
 Keys = Sequence[str]
 
@@ -58,7 +60,7 @@ def positive(cues: DataFrame) -> DataFrame:
 
 def renumber(cues: DataFrame, keys: Keys = ("video_id",)) -> DataFrame:
     """Index and order from 1 without holes."""
-    return cues.withColumn("ord", F.row_number().over(track(keys)).cast("long")).withColumn("index", F.col("ord"))
+    return scan.numbered(cues, keys, "_n").withColumn("ord", F.col("_n")).withColumn("index", F.col("_n")).drop("_n")
 
 
 def clamped(cues: DataFrame, o: Clean = Clean(), keys: Keys = ("video_id",), visual_start: str | None = None) -> DataFrame:
@@ -67,67 +69,29 @@ def clamped(cues: DataFrame, o: Clean = Clean(), keys: Keys = ("video_id",), vis
     out = cues.withColumn("start_ms", start).withColumn("end_ms", F.greatest(F.col("start_ms") + o.min_ms, F.col("end_ms")))
     if visual_start:
         seen = F.col(visual_start)
-        early = (F.row_number().over(track(keys)) == 1) & (F.col("start_ms") < o.guard_from_ms) & (seen > o.guard_shift_ms)
-        out = out.withColumn("start_ms", F.when(early, F.least(seen, F.greatest(F.lit(0), F.col("end_ms") - o.min_ms))).otherwise(F.col("start_ms")))
+        early = (F.col("_n") == 1) & (F.col("start_ms") < o.guard_from_ms) & (seen > o.guard_shift_ms)
+        out = scan.numbered(out, keys, "_n").withColumn("start_ms", F.when(early, F.least(seen, F.greatest(F.lit(0), F.col("end_ms") - o.min_ms))).otherwise(F.col("start_ms"))).drop("_n")
     return out.withColumn("end_ms", F.least(F.col("end_ms"), F.col("start_ms") + o.max_ms))
 
 
-def _cascade(columns: list[str], keys: list[str], o: Clean):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, last = None, None  # the cue that may still grow by a merge
-        for batch in it:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                at = tuple(r[k] for k in keys)
-                if at != here:
-                    if last:
-                        out.append(last)
-                    here, last = at, None
-                if last and r["start_ms"] < last["end_ms"]:
-                    r["start_ms"] = last["end_ms"] + 1
-                    r["end_ms"] = max(r["end_ms"], r["start_ms"] + o.min_ms)
-                if last and o.merge_short and r["end_ms"] - r["start_ms"] < o.min_ms:
-                    last["text"] = (last["text"] or "") + (r["text"] or "")
-                    last["end_ms"] = max(last["end_ms"], r["end_ms"])
-                    continue
-                if last:
-                    out.append(last)
-                last = r
-            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
-            schema = batch.schema
-        if last:
-            yield pa.RecordBatch.from_pylist([last], schema=schema)
-
-    return run
-
-
 def separated(cues: DataFrame, o: Clean = Clean(), keys: Keys = ("video_id",)) -> DataFrame:
     """No cue starts before the one emitted before it has ended; cues then too short join that one.
 
-    Each cue depends on what became of the last, which is no window function.
-    A running maximum bounds the latest end the cues before can have got; a
-    cue that starts after it opens an island that nothing before can touch.
-    Islands are dealt over tasks and read as sorted streams, one cue in memory.
+    Each cue depends on what became of the last, which is no window function,
+    but a fold that can be cut anywhere (``scan.deoverlapped``). A cue without
+    a time moves nothing; one that joins another and ends before it starts
+    counts as ending there.
     """
-    columns = cues.columns
-    step = o.min_ms + 1
-    w = track(keys)
-    n = F.row_number().over(w)
-    tall = cues.withColumn("_n", n.cast("long"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    bound = F.max(F.col("end_ms") - F.col("_n") * step).over(before) + (F.col("_n") - 1) * step
-    # A short cue may join the one before it however far that is, so it opens no island.
-    apart = F.col("start_ms") >= bound
+    out = scan.deoverlapped(cues, keys, o.min_ms, o.merge_short)
     if o.merge_short:
-        apart = apart & (duration() >= o.min_ms)
-    tall = tall.withColumn("_island", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(w))
-    by = [*keys, "_island"]
-    dealt = tall.repartition(*by).sortWithinPartitions(*by, "ord")
-    types = {**dict(cues.dtypes), "_island": "bigint", "_n": "bigint"}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in dealt.columns)
-    out = dealt.mapInArrow(_cascade(dealt.columns, by, o), schema)
-    return renumber(out.select(*columns), keys)
+        out = written(out, "separated")
+    tall = scan.running(out, keys, _n=("sum", F.col("_head").cast("long"))).withColumn("_n", F.col("_n") + F.col("_head").cast("long"))
+    if o.merge_short and not out.where(~F.col("_head")).isEmpty():
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))), lambda r: r["text"]), "")
+        own = {c: F.min_by(c, "ord") for c in cues.columns if c not in keys}
+        own |= {"end_ms": F.max("end_ms"), "text": F.when(F.count("*") == 1, F.min_by("text", "ord")).otherwise(joined)}
+        tall = tall.groupBy(*keys, "_n").agg(*(v.alias(c) for c, v in own.items()))
+    return tall.select(*cues.columns, "_n").withColumn("ord", F.col("_n")).withColumn("index", F.col("_n")).drop("_n")
 
 
 def islands(cues: DataFrame, changed: Column, keys: Keys) -> DataFrame:
@@ -137,11 +101,13 @@ def islands(cues: DataFrame, changed: Column, keys: Keys) -> DataFrame:
 
 def repeated_runs(cues: DataFrame, o: Clean = Clean(), keys: Keys = ("video_id",)) -> DataFrame:
     """Adds ``run``, ``run_count``, ``run_span_ms`` and ``dropped``: a run of one text, often and long enough, goes."""
-    tall = cues.withColumn("repeat_key", T.repeat_key(F.coalesce("text", F.lit(""))))
-    same = F.lag("repeat_key").over(track(keys))
-    tall = islands(tall, ~F.col("repeat_key").eqNullSafe(same), keys)
-    run = Window.partitionBy(*keys, "run")
-    tall = tall.withColumn("run_count", F.count("*").over(run)).withColumn("run_span_ms", F.max(F.struct("ord", "end_ms")).over(run)["end_ms"] - F.min(F.struct("ord", "start_ms")).over(run)["start_ms"])
+    # Read twice below, and once more by what renumbers the rest.
+    tall = written(scan.runs(cues.withColumn("repeat_key", T.repeat_key(F.coalesce("text", F.lit("")))), keys, F.col("repeat_key")), "runs")
+    each = tall.groupBy(*(F.col(c).alias(f"_r_{c}") for c in (*keys, "run"))).agg(F.count("*").alias("run_count"), (F.max_by("end_ms", "ord") - F.min_by("start_ms", "ord")).alias("run_span_ms"))
+    same = F.col("run") == F.col("_r_run")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    tall = tall.join(each, same).drop(*(f"_r_{c}" for c in (*keys, "run")))
     return tall.withColumn("dropped", (F.col("repeat_key") != "") & (F.col("run_count") >= o.repeat_count) & (F.col("run_span_ms") >= o.repeat_span_ms))
 
 
@@ -224,9 +190,8 @@ def suspicious(cues: DataFrame, o: Limits = Limits(), keys: Keys = ("video_id",)
 
 def errors(cues: DataFrame, tracks: DataFrame | None = None, keys: Keys = ("video_id",)) -> DataFrame:
     """Basic faults as ``keys, ord, check_no, message``, in order. ``tracks`` (keys) adds those without a cue."""
-    w = track(keys)
-    n = F.row_number().over(w)
-    tall = cues.withColumn("_n", n).withColumn("_before", F.lag("end_ms", 1, -1).over(w))
+    tall = scan.running(cues, keys, _n=("sum", F.lit(1).cast("long")), _last=("last", F.col("end_ms")))
+    tall = tall.withColumn("_n", F.col("_n") + 1).withColumn("_before", F.when(F.col("_last").isNull(), -1).otherwise(F.col("_last.v")))
     where = F.concat(F.lit("index "), F.col("_n").cast("string"))
     checks = [
         (F.col("index") != F.col("_n"), F.concat(F.lit("index "), F.col("index").cast("string"), F.lit(" should be "), F.col("_n").cast("string"))),
