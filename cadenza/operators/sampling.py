@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 Keys = Sequence[str]
 
 
@@ -48,9 +51,11 @@ def near_centre(cues: DataFrame, duration: str, n: int, interval: float = 1.0, c
     """The n cue middles nearest to the middle of the video that keep ``interval`` seconds apart, in order.
 
     With ``clamp`` a middle stays 50 ms inside its cue, with ``fill`` missing
-    ones are made up from the nearest regardless of the spacing. Choices
-    depend on the choices before, so a track's candidates are folded in one
-    array, nearest first; a track has as many as its video has cues.
+    ones are made up from the nearest regardless of the spacing. Each choice
+    depends on the choices before, so there is a round for each: of the cues
+    that come after the last choice and keep apart from all, the nearest, a
+    minimum that Spark combines before the shuffle. A round carries a track's
+    choices, n at most, to its cues; no task holds a track.
     """
     middle = (F.col("start_ms") + F.col("end_ms")) / F.lit(2.0)
     second = middle / 1000
@@ -59,21 +64,31 @@ def near_centre(cues: DataFrame, duration: str, n: int, interval: float = 1.0, c
     inside = lambda x: F.greatest(F.lit(0.0), F.least(F.col(duration), x))
     plain = F.bround(inside(middle / 1000), 3)
     tested = second if clamp else plain
-    rows = cues.where("end_ms > start_ms").select(*keys, F.struct(F.abs(middle - F.col(duration) * 500).alias("d"), "ord", tested.alias("t"), F.bround(inside(second), 3).alias("s"), plain.alias("p")).alias("c"))
-    near = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("c")).alias("c"))
-
-    def take(got: Column, c: Column) -> Column:
-        apart = F.forall(got, lambda g: F.abs(c["t"] - g) >= interval)
-        return F.when((F.size(got) < n) & apart, F.array_append(got, c["s"])).otherwise(got)
-
-    def more(got: Column, c: Column) -> Column:
-        return F.when((F.size(got) < n) & ~F.array_contains(got, c["p"]), F.array_append(got, c["p"])).otherwise(got)
-
-    picked = F.aggregate("c", F.array().cast("array<double>"), take)
+    c = F.struct(F.abs(middle - F.col(duration) * 500).alias("d"), "ord", tested.alias("t"), F.bround(inside(second), 3).alias("s"), plain.alias("p"))
+    rows = written(cues.where("end_ms > start_ms").select(*keys, c.alias("c")), "middles")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    tracks = [f"_k_{k}" for k in keys]
+    named = [F.col(k).alias(f"_k_{k}") for k in keys]
+    # A track's state: the seconds taken so far and the last cue chosen.
+    got = rows.select(*named).distinct().select(*tracks, F.array().cast("array<double>").alias("taken"), F.lit(None).cast(dict(rows.dtypes)["c"]).alias("last"))
+    for _ in range(n):
+        after = F.col("last").isNull() | (F.struct("c.d", "c.ord") > F.struct("last.d", "last.ord"))
+        apart = F.forall("taken", lambda g: F.abs(F.col("c.t") - g) >= interval)
+        best = rows.join(got, same).groupBy(*tracks).agg(F.min(F.when(after & apart, F.col("c"))).alias("best"), F.first("taken").alias("taken"), F.first("last").alias("last"))
+        took = F.when(F.col("best").isNull(), F.col("taken")).otherwise(F.array_append("taken", F.col("best.s")))
+        got = best.select(*tracks, took.alias("taken"), F.coalesce("best", "last").alias("last"))
     if fill:
-        near = near.withColumn("picked", picked)
-        picked = F.aggregate("c", F.col("picked"), more)
-    return near.select(*keys, F.sort_array(picked).alias("seconds"))
+        # Of cues at one second the nearest counts, and a track needs n at most: ranks cut them before the shuffle.
+        rest = rows.join(got, same).where((F.size("taken") < n) & ~F.array_contains("taken", F.col("c.p"))).groupBy(*tracks, "c.p").agg(F.min(F.struct("c.d", "c.ord")).alias("near"), F.first(F.size("taken")).alias("had"))
+        rest = rest.withColumn("place", F.row_number().over(Window.partitionBy(*tracks).orderBy("near"))).where((F.col("place") <= n)).where(F.col("place") <= n - F.col("had"))
+        more = rest.groupBy(*(F.col(k).alias(f"_m{k}") for k in tracks)).agg(F.collect_list("p").alias("more"))
+        match = F.lit(True)
+        for k in tracks:
+            match = match & F.col(k).eqNullSafe(F.col(f"_m{k}"))
+        got = got.join(more, match, "left").withColumn("taken", F.concat("taken", F.coalesce("more", F.array().cast("array<double>"))))
+    return got.select(*(F.col(f"_k_{k}").alias(k) for k in keys), F.sort_array("taken").alias("seconds"))
 
 
 def strided(cues: DataFrame, most: int, keys: Keys = ("video_id",)) -> DataFrame:
@@ -92,6 +107,37 @@ def first_seen(hits: DataFrame, until: float = 12.0, lead_ms: int = 200, keys: K
     return hits.groupBy(*keys).agg(F.greatest(F.lit(0), (at * 1000).cast("long") - lead_ms).alias("raw"), at.alias("at")).select(*keys, F.when(F.col("at").isNotNull(), F.col("raw")).alias("first_visual_ms"))
 
 
+def first_seen_by(frames: DataFrame, detect: Callable[[dict], bool | None], until: float = 12.0, lead_ms: int = 200, keys: Keys = ("video_id",)) -> DataFrame:
+    """``first_seen`` with the detector asked on the way: a video's frames (keys, ``second`` and more) pass in order, and after its first hit the rest pass unasked.
+
+    ``detect`` gets a frame's row as a dict. A video without a frame up to
+    ``until`` or without a hit gives null.
+    """
+    types = dict(frames.dtypes)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, hit = None, True
+        for batch in it:
+            names = batch.schema.names
+            ids = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            seconds, found = batch.column("second").to_pylist(), []
+            for i, (at, second) in enumerate(zip(ids, seconds, strict=True)):
+                if (at,) != here:
+                    here, hit = (at,), False
+                    found.append((i, None))
+                # Only the frames that are asked become Python values.
+                if not hit and second is not None and second <= until and detect({c: batch.column(c)[i].as_py() for c in names}):
+                    hit = True
+                    found.append((i, second))
+            rows = pa.array([i for i, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), pa.array([s for _, s in found], pa.float64())], names=[*keys, "at"])
+
+    near = frames.withColumn("second", F.col("second").cast("double")).repartition(*keys).sortWithinPartitions(*keys, "second")
+    hits = near.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", at double")
+    at = F.max("at")
+    return hits.groupBy(*keys).agg(F.when(at.isNotNull(), F.greatest(F.lit(0), (at * 1000).cast("long") - lead_ms)).alias("first_visual_ms"))
+
+
 def seen_near(hits: DataFrame, instants: DataFrame, reach: float = 0.15, keys: Keys = ("video_id",)) -> DataFrame:
     """Whether text is visible at an instant (keys, ``second``) or ``reach`` around it: true, false, or null if nothing could be read."""
     wanted = instants.select(*keys, "second", F.explode(F.array(*(F.bround(F.col("second") + d, 3) for d in (-reach, 0.0, reach)))).alias("at"))

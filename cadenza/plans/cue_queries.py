@@ -375,7 +375,22 @@ def j8_positions(spark, d):
 
 # ---- sampling
 
-@query("w8_near_centre")
+# Every cue of a track in order of its distance: first those that keep apart from what is taken, then, from the nearest on, what is still wanted.
+@query("w8_near_centre", f"""
+WITH RECURSIVE {CUES},
+m AS (SELECT video_id, ord, (start_ms + end_ms) / 2.0::DOUBLE AS mid, greatest(start_ms / 1000.0::DOUBLE + 0.05::DOUBLE, least(end_ms / 1000.0::DOUBLE - 0.05::DOUBLE, (start_ms + end_ms) / 2.0::DOUBLE / 1000)) AS t FROM cues WHERE end_ms > start_ms),
+c AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY abs(mid - 300.0::DOUBLE * 500), ord) AS n, t, round_even(greatest(0.0::DOUBLE, least(300.0::DOUBLE, t)), 3) AS s, round_even(greatest(0.0::DOUBLE, least(300.0::DOUBLE, mid / 1000)), 3) AS p FROM m),
+one AS (
+  SELECT video_id, 0::BIGINT AS n, []::DOUBLE[] AS got FROM c GROUP BY video_id
+  UNION ALL
+  SELECT c.video_id, c.n, CASE WHEN len(one.got) < 4 AND len(list_filter(one.got, lambda g: abs(c.t - g) < 5.0)) = 0 THEN list_append(one.got, c.s) ELSE one.got END
+  FROM one JOIN c ON c.video_id = one.video_id AND c.n = one.n + 1),
+two AS (
+  SELECT video_id, 0::BIGINT AS n, arg_max(got, n) AS got FROM one GROUP BY video_id
+  UNION ALL
+  SELECT c.video_id, c.n, CASE WHEN len(two.got) < 4 AND NOT list_contains(two.got, c.p) THEN list_append(two.got, c.p) ELSE two.got END
+  FROM two JOIN c ON c.video_id = two.video_id AND c.n = two.n + 1)
+SELECT video_id, array_to_string(list_transform(list_sort(arg_max(got, n)), lambda x: x::VARCHAR), ',') AS picked FROM two GROUP BY video_id""")
 def w8_near_centre(spark, d):
     c = V.cues(spark, d).withColumn("video_seconds", F.lit(300.0))
     out = S.near_centre(c, "video_seconds", 4, 5.0, clamp=True, fill=True, keys=("video_id", "video_seconds"))
@@ -462,10 +477,12 @@ def j6_frame_pairs(spark, d):
     """Pairs by the sample's number: a frame that could not be read leaves the others' pairs alone."""
     from pyspark.sql import Window
 
+    from ..operators.pixels import paired
+
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long")
     f = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), n.alias("sample_no"), "l_partkey", "l_suppkey")
     final, original = f.where("sample_no % 5 <> 0"), f.where("sample_no % 3 <> 0")
-    return final.select("frame_id", "sample_no", F.col("l_partkey").alias("final_id")).join(original.select("frame_id", "sample_no", F.col("l_suppkey").alias("original_id")), ["frame_id", "sample_no"])
+    return paired(final, original, ("frame_id", "sample_no")).select("frame_id", "sample_no", F.col("final_l_partkey").alias("final_id"), F.col("original_l_suppkey").alias("original_id"))
 
 
 @query("j7_adjustments", r"""
