@@ -1,44 +1,107 @@
-"""Dynamic time warping of cost matrices, one per key."""
+"""Dynamic time warping of pairs of sequences.
+
+A pair's cost matrix is never stored. Its cells are filled one anti-diagonal
+after the other, as each depends on the two before it alone, and only every
+root-th pair of diagonals is kept. On the way back the diagonals between two
+kept ones are filled again, now with their moves, so a pair of n by m takes
+memory of the order of n times the root of n + m.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from math import isqrt
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Moves into a cell: from the diagonal, from above, from the left.
+DIAGONAL, DOWN, RIGHT = 0, 1, 2
+
+Cost = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cost of elements against elements: how far numbers are apart."""
+    return np.abs(x - y)
+
+
+class _Pair:
+    def __init__(self, a: np.ndarray, b: np.ndarray, cost: Cost):
+        self.a, self.b, self.cost = a, b, cost
+        self.n, self.m = len(a), len(b)
+
+    def next(self, k: int, two: np.ndarray, one: np.ndarray, moves: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Totals of the cells i + j = k (by i, counted from 1) from those of the two diagonals before, and with ``moves`` how each is reached."""
+        i = np.arange(max(1, k - self.m), min(self.n, k - 1) + 1)
+        come = np.stack([two[i - 1], one[i - 1], one[i]])
+        # A diagonal step only if it is strictly the best, a step down only if it beats both others.
+        strict = [(come[x] < come[[y for y in range(3) if y != x]]).all(0) for x in (DIAGONAL, DOWN)]
+        move = np.where(strict[0], DIAGONAL, np.where(strict[1], DOWN, RIGHT))
+        out = np.full(self.n + 1, np.inf)
+        out[i] = self.cost(self.a[i - 1], self.b[k - i - 1]) + np.take_along_axis(come, move[None], 0)[0]
+        if not moves:
+            return out, None
+        how = np.full(self.n + 1, RIGHT, dtype=np.int8)
+        how[i] = move
+        return out, how
+
+    def path(self) -> np.ndarray:
+        """Cells of the cheapest path from the first to the last, as rows (i, j) from 0."""
+        n, m = self.n, self.m
+        if not n or not m:
+            return np.zeros((0, 2), dtype=np.int64)
+        step = isqrt(n + m) + 1
+        two, one = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+        two[0] = 0.0
+        kept = {1: (two, one)}
+        for k in range(2, n + m + 1):
+            two, one = one, self.next(k, two, one)[0]
+            if k % step == 1:
+                kept[k] = (two, one)
+        i, j, out = n, m, []
+        for k0 in sorted(kept, reverse=True):
+            if i + j <= k0:
+                continue
+            two, one = kept[k0]
+            moves = {}
+            for k in range(k0 + 1, i + j + 1):
+                new, moves[k] = self.next(k, two, one, moves=True)
+                two, one = one, new
+            while i and j and i + j > k0:
+                out.append((i - 1, j - 1))
+                how = moves[i + j][i]
+                i, j = i - (how != RIGHT), j - (how != DOWN)
+        return np.array(out[::-1], dtype=np.int64)
+
 
 def path(cost: np.ndarray) -> list[tuple[int, int]]:
-    """The cheapest path from the first to the last cell.
+    """The cheapest path through a matrix of costs, none if it is empty.
 
     A diagonal step is taken only if it is strictly the best, a step down only
     if it beats both others, else a step right.
     """
     n, m = cost.shape
-    total = np.full((n + 1, m + 1), np.inf)
-    total[0, 0] = 0
-    move = np.full((n + 1, m + 1), 2, dtype=np.int8)
-    # All cells of an anti-diagonal depend on the two before it alone.
-    for k in range(2, n + m + 1):
-        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
-        j = k - i
-        come = np.stack([total[i - 1, j - 1], total[i - 1, j], total[i, j - 1]])
-        strict = [(come[a] < come[[b for b in range(3) if b != a]]).all(0) for a in (0, 1)]
-        move[i, j] = np.where(strict[0], 0, np.where(strict[1], 1, 2))
-        total[i, j] = cost[i - 1, j - 1] + np.take_along_axis(come, move[i, j][None].astype(np.intp), 0)[0]
-    i, j, out = n, m, []
-    while i and j:
-        out.append((i - 1, j - 1))
-        i, j = i - (move[i, j] != 2), j - (move[i, j] != 1)
-    return out[::-1]
-
-
-def warp(costs: DataFrame) -> DataFrame:
-    """``pair_id, step, i, j`` of each pair's matrix, given by cells ``pair_id, i, j, cost``. A pair's matrix is one video's."""
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros((int(cells["i"].max()) + 1, int(cells["j"].max()) + 1))
-        c[cells["i"], cells["j"]] = cells["cost"]
-        steps = path(c)
-        return pd.DataFrame({"pair_id": cells["pair_id"].iloc[0], "step": range(len(steps)), "i": [i for i, _ in steps], "j": [j for _, j in steps]})
-
-    return costs.groupBy("pair_id").applyInPandas(run, "pair_id long, step long, i long, j long")
+    return [tuple(x) for x in _Pair(np.arange(n), np.arange(m), lambda i, j: cost[i, j]).path().tolist()]
+
+
+def warp(pairs: DataFrame, cost: Cost = distance) -> DataFrame:
+    """``pair_id, step, i, j`` for each of ``pairs`` (``pair_id``, ``a`` and ``b``, arrays of numbers or of arrays of them).
+
+    ``cost`` gets as many elements of ``a`` as of ``b`` and returns their costs.
+    A pair whose sequence is null or empty has no path.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for row in range(batch.num_rows):
+                pair = batch.slice(row, 1)
+                a, b = (np.array(pair.column(c)[0].as_py() or [], dtype=float) for c in ("a", "b"))
+                cells = _Pair(a, b, cost).path()
+                for lo in range(0, len(cells), 1 << 16):
+                    part = cells[lo : lo + (1 << 16)]
+                    number = pa.array([pair.column("pair_id")[0].as_py()] * len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays([number, pa.array(np.arange(lo, lo + len(part))), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["pair_id", "step", "i", "j"])
+
+    return pairs.select("pair_id", "a", "b").mapInArrow(run, "pair_id long, step long, i long, j long")
