@@ -25,11 +25,65 @@ def s3_read_srt(spark, d):
 
 @query("s4_read_documents", "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS size FROM part")
 def s4_read_documents(spark, d):
-    """Parts as JSON documents, one a line and one a field short, read by a schema."""
+    """Parts as JSON documents, each a file of its own and every third one a field short, read by a schema."""
     path = S.scratch(spark, "json")
     i = F.col("p_partkey")
-    V.table(spark, d, "part").select(i.alias("id"), F.struct(F.col("p_name").alias("name")).alias("about"), F.when(i % 3 != 0, F.col("p_size")).alias("size")).write.json(path)
-    return spark.read.json(path, schema="id long, about struct<name: string>, size long").select("id", "about.name", "size")
+    document = F.to_json(F.struct(i.alias("id"), F.struct(F.col("p_name").alias("name")).alias("about"), F.when(i % 3 != 0, F.col("p_size")).alias("size")), {"pretty": "true"})
+    V.table(spark, d, "part").select(document.alias("value"), i.alias("folder")).write.partitionBy("folder").text(path)
+    return S.read_documents(spark, f"{path}/*", "id long, about struct<name: string>, size long").select("id", "about.name", "size")
+
+
+@query("s1_input_listing", """
+SELECT path, length FROM (SELECT 'in/' || CASE WHEN o_orderkey % 5 = 0 THEN 'old/' ELSE '' END || 'clip' || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN '.MP4' WHEN 1 THEN '.mov' WHEN 2 THEN '.mkv' ELSE '.txt' END AS path, o_custkey AS length, o_orderkey FROM orders)
+WHERE o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 3""")
+def s1_input_listing(spark, d):
+    """Orders as files of a folder and one below it, some of another kind."""
+    k = F.col("o_orderkey")
+    suffix = F.element_at(F.array(*map(F.lit, (".MP4", ".mov", ".mkv", ".txt"))), (k % 4 + 1).cast("int"))
+    path = F.concat(F.lit("in/"), F.when(k % 5 == 0, "old/").otherwise(""), F.lit("clip"), k.cast("string"), suffix)
+    return S.videos(V.table(spark, d, "orders").select(path.alias("path"), F.col("o_custkey").alias("length")), folder="in/")
+
+
+@query("k1_replaced_reports", """
+WITH n AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey AS frame_id, n AS lines, q AS quantity FROM n WHERE n > 1""")
+def k1_replaced_reports(spark, d):
+    """Reports of orders, written once, replaced by a second writing after a third one has failed half-way, and read back."""
+    path = S.scratch(spark, "reports")
+    rows = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame_id")).agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("quantity"))
+    K.write_reports(rows, path)
+    K.write_reports(rows.where("lines > 1"), path)
+
+    def half(to: str) -> None:
+        rows.where("lines > 2").write.json(to)
+        raise OSError("the disk is full")
+
+    try:
+        K.replace(spark, path, half)
+    except OSError:
+        pass
+    return spark.read.json(path, schema="frame_id long, lines long, quantity long")
+
+
+@query("t5_two_runs", """
+WITH a AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN k % 5 = 0 THEN 2 WHEN k % 2 = 0 THEN CASE WHEN k % 13 = 0 THEN 2 ELSE 1 END WHEN k % 11 = 0 OR k % 3 = 0 THEN 2 ELSE 1 END AS made FROM orders)
+SELECT k AS name, c * 2 + CASE WHEN k % 11 = 0 AND made = 2 THEN 2 ELSE 0 END AS value, made::BIGINT AS made FROM a WHERE k % 7 <> 0""")
+def t5_two_runs(spark, d):
+    """Orders as inputs of two runs: between them some come, some go, some change their size, time or content. A content that is known decides."""
+    from ..operators import manifest as M
+
+    path = S.scratch(spark, "runs")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    hashed = F.when(k % 2 == 0, F.concat(F.lit("h"), k.cast("string")))
+    first = V.table(spark, d, "orders").select(k.alias("name"), c.alias("size"), k.alias("modified"), hashed.alias("hash"))
+    second = first.withColumns({
+        "hash": F.when(F.col("name") % 13 == 0, F.concat("hash", F.lit("new"))).otherwise(F.col("hash")),
+        "modified": F.col("modified") + F.when(F.col("name") % 3 == 0, 1).otherwise(0),
+        "size": F.col("size") + F.when(F.col("name") % 11 == 0, 1).otherwise(0),
+    })
+    work = lambda todo: todo.select("name", (F.col("size") * 2).alias("value"))
+    M.run(first.where("name % 5 <> 0"), path, work)
+    M.run(second.where("name % 7 <> 0"), path, work)
+    return M.outputs(spark, path).select("name", "value", F.col("made").cast("long").alias("made"))
 
 
 @query("s5_probe", """

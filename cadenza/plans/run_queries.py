@@ -69,6 +69,67 @@ def f34_retry_policy(spark, d):
     return R.delays(R.policies(rows, attempts=3)).select("o_orderkey", F.col("attempts").cast("long").alias("attempts"), F.col("retry").cast("long").alias("retry"), "delay")
 
 
+@query("t2_functional_hash", """
+SELECT o_orderkey, sha256('{"pipeline_version": 2, "prompt_hash": ' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || sha256(o_orderpriority) || '"' END
+  || ', "provider_config": ' || CASE o_orderkey % 4 WHEN 0 THEN '{"near": {"api_key": "", "limits": {"a": [1, 2], "b": null}}}' WHEN 1 THEN '{"far": {"api_key": "***REDACTED***", "url": "http://x/?a=1,2"}}' WHEN 2 THEN '{"far": {"api_key": "***REDACTED***", "url": "http://x/?a=1,2"}, "near": {"api_key": "", "limits": {"a": [1, 2], "b": null}}}' ELSE 'null' END
+  || ', "step": "s' || o_orderkey % 6 || '", "step_config": {' || CASE o_orderkey % 4 WHEN 2 THEN '"fallback_provider": "near", ' ELSE '' END || '"model": {"name": "m: ' || o_custkey || ', x", "sizes": {"a": ' || o_custkey % 7 || ', "z": 1.5}}'
+  || CASE o_orderkey % 4 WHEN 0 THEN ', "provider": "near"' WHEN 1 THEN ', "provider": "far"' WHEN 2 THEN ', "provider": "far"' ELSE '' END || '}}') AS hash FROM orders""")
+def t2_functional_hash(spark, d):
+    """Orders as configurations, their fields in one order or the other; what is forced and how often it is tried does not count, nor does a key."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    sizes = F.concat(F.lit('{"z":1.5,"a":'), (F.col("o_custkey") % 7).cast("string"), F.lit("}"))
+    model = F.concat(F.lit('"model": {"sizes": '), sizes, F.lit(', "name": "m: '), c, F.lit(', x"}'))
+    provider = F.when(k % 4 == 0, '"provider":"near",').when(k % 4 == 1, '"provider":"far",').when(k % 4 == 2, '"provider":"far","fallback_provider":"near",').otherwise("")
+    forced = F.concat(F.lit('"overwrite":'), F.when(k % 5 == 0, "true").otherwise("false"), F.lit(',"retry":{"max_attempts":'), (k % 4).cast("string"), F.lit("}"))
+    config = F.when(k % 2 == 0, F.concat(F.lit("{"), provider, model, F.lit(","), forced, F.lit("}"))).otherwise(F.concat(F.lit("{"), forced, F.lit(" , "), provider, model, F.lit("}")))
+    providers = F.concat(F.lit('{"far":{"url":"http://x/?a=1,2","api_key":"k'), c, F.lit('"},"other":{"api_key":"x"},"near":{"limits":{"b":null,"a":[1,2]},"api_key":""}}'))
+    prompt = F.when(k % 3 != 0, F.col("o_orderpriority").cast("binary"))
+    rows = V.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("s"), (k % 6).cast("string")).alias("step"), config.alias("config"), providers.alias("providers"), prompt.alias("prompt"))
+    return R.step_hashes(rows).select("o_orderkey", "hash")
+
+
+def _first(prompt: str, attempt: int) -> str:
+    k = int(prompt.rsplit(" ", 1)[1])
+    if k % 5 == 0:
+        raise ValueError("bad request")
+    if attempt <= k % 4:
+        raise ValueError(f"timed out: timeout {attempt}")
+    return f"one {prompt}"
+
+
+def _second(prompt: str, attempt: int) -> str:
+    if int(prompt.rsplit(" ", 1)[1]) % 15 == 0:
+        raise ValueError("no such model")
+    return f"two {prompt}"
+
+
+@query("t4_call_rounds", """
+WITH p AS (SELECT o_orderkey, o_custkey AS k, 'about ' || o_custkey AS prompt, CASE WHEN o_custkey % 5 = 0 THEN 1 WHEN o_custkey % 4 = 3 THEN 3 ELSE o_custkey % 4 + 1 END AS tried, o_custkey % 5 = 0 OR o_custkey % 4 = 3 AS failed FROM orders)
+SELECT o_orderkey, CASE WHEN NOT failed THEN 'one ' || prompt WHEN k % 15 = 0 THEN 'none' ELSE 'two ' || prompt END AS reply, CASE WHEN NOT failed THEN 0 WHEN k % 15 <> 0 THEN 1 END AS provider, tried + failed::INTEGER AS calls,
+  CASE WHEN k % 15 = 0 THEN 'no such model' WHEN k % 5 = 0 THEN 'bad request' WHEN k % 4 > 0 THEN 'timed out: timeout ' || k % 4 END AS error FROM p""")
+def t4_call_rounds(spark, d):
+    """Customers' prompts, one for each of their orders, to a provider that fails for a while or for good, and to a second one; taken up again after two rounds."""
+    from ..operators import calls as C
+    from ..sources.files import scratch
+
+    path, policy = scratch(spark, "calls"), R.Retry(attempts=3, seconds=0.0)
+    prompts = V.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("about "), F.col("o_custkey").cast("string")).alias("prompt"))
+
+    class Cut(Exception):
+        pass
+
+    def cut(_: float) -> None:
+        if C.rounds(spark, path) == 2:
+            raise Cut
+
+    try:
+        C.answered(prompts, (_first, _second), path, policy, "none", sleep=cut)
+    except Cut:
+        pass
+    out = C.answered(prompts, (_first, _second), path, policy, "none")
+    return out.select("o_orderkey", "reply", F.col("provider").cast("long").alias("provider"), "calls", "error")
+
+
 @query("t3_job_states", f"""
 WITH {STEPS}, e AS (SELECT video_id, ord, step, CASE WHEN (video_id + ord) % 17 = 0 THEN 'reset' WHEN (video_id + ord) % 19 = 0 THEN 'done' WHEN status IS NULL THEN 'running' ELSE status END AS status FROM steps),
 r AS (SELECT *, max(CASE WHEN status = 'reset' THEN ord END) OVER (PARTITION BY video_id) AS since FROM e),
@@ -159,10 +220,28 @@ def t6_fit_rounds(spark, d):
     return T.fit(events, measure, cut)[0].select("ord", "line")
 
 
-@query("f40_warp")
+# The first recursion fills the anti-diagonals of a pair's matrix, each from the two before it, with the move into each cell; the second goes back along the moves.
+# Cells that a diagonal has outside of the matrix meet no element.
+@query("f40_warp", """
+WITH RECURSIVE p AS (SELECT x.vec_id AS pair_id, len(x.embedding) AS n, len(y.embedding) AS m, list_prepend(NULL, x.embedding) AS a,
+    list_concat(list_transform(range(n + 1), lambda i: NULL::FLOAT), y.embedding, list_transform(range(n + 1), lambda i: NULL::FLOAT)) AS b FROM embeddings x JOIN embeddings y ON y.vec_id + 1 = x.vec_id),
+d AS (
+  SELECT pair_id, 1::BIGINT AS k, list_transform(range(n + 1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END) AS two, list_transform(range(n + 1), lambda i: 'inf'::DOUBLE) AS one, []::INTEGER[] AS move FROM p
+  UNION ALL
+  SELECT pair_id, k + 1, one,
+    list_transform(c, lambda x: CASE WHEN x[4] IS NULL OR x[5] IS NULL THEN 'inf'::DOUBLE ELSE abs(x[4] - x[5])::DOUBLE + CASE WHEN x[1] < x[2] AND x[1] < x[3] THEN x[1] WHEN x[2] < x[1] AND x[2] < x[3] THEN x[2] ELSE x[3] END END),
+    list_transform(c, lambda x: CASE WHEN x[1] < x[2] AND x[1] < x[3] THEN 0 WHEN x[2] < x[1] AND x[2] < x[3] THEN 1 ELSE 2 END)
+  FROM (SELECT d.pair_id, d.k, d.one, list_zip(list_prepend(NULL, d.two[:n]), list_prepend(NULL, d.one[:n]), d.one, p.a, list_reverse(p.b[d.k + 2:d.k + n + 2])) AS c FROM d JOIN p ON p.pair_id = d.pair_id WHERE d.k < n + m)),
+g AS MATERIALIZED (SELECT pair_id, list(move ORDER BY k) AS moves FROM d GROUP BY pair_id),
+t AS (
+  SELECT pair_id, n AS i, m AS j FROM p WHERE n > 0 AND m > 0
+  UNION ALL
+  SELECT pair_id, i - (how <> 2)::BIGINT, j - (how <> 1)::BIGINT FROM (SELECT t.pair_id, t.i, t.j, g.moves[t.i + t.j][t.i + 1] AS how FROM t JOIN g ON g.pair_id = t.pair_id WHERE t.i > 0 AND t.j > 0))
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY i + j) - 1 AS step, i - 1 AS i, j - 1 AS j FROM t WHERE i > 0 AND j > 0""")
 def f40_warp(spark, d):
-    from ..operators.warp import warp
+    from ..operators.warp import distance, warp
 
     e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"))
-    cells = e.select("vec_id", F.posexplode("a").alias("i", "x")).join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.posexplode("a").alias("j", "y")), "vec_id")
-    return warp(cells.select(F.col("vec_id").cast("long").alias("pair_id"), "i", "j", F.abs(F.col("x") - F.col("y")).cast("double").alias("cost")))
+    pairs = e.join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    # Costs as differences of single precision, as the vectors are stored.
+    return warp(pairs.select(F.col("vec_id").cast("long").alias("pair_id"), "a", "b"), lambda x, y: distance(x.astype("float32"), y.astype("float32")).astype(float))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -83,11 +85,58 @@ def ass(events: DataFrame, style: Style = Style(), keys: Keys = ("video_id",)) -
     return _document(events, keys, "line", "\n", F.concat(F.lit("﻿"), ass_header(style)), "\n")
 
 
+def replace(spark: SparkSession, path: str, write: Callable[[str], None], tries: int = 5, wait: float = 0.4, sleep: Callable[[float], None] = time.sleep) -> None:
+    """``write`` fills a new folder beside ``path``, which then takes its place.
+
+    Until the new folder is whole the old one stays as it is, and a failed
+    write leaves nothing behind. The exchange is two renames, tried again a few
+    times with growing waits; if the second fails for good, the old folder is
+    put back. A folder that an exchange cut short has left aside is put back
+    by the next one.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = lambda kind: spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{kind}")
+    old, new = beside("old"), beside(f"new-{uuid.uuid4().hex}")
+
+    def moved(source, target) -> None:
+        for k in range(tries):
+            if fs.rename(source, target):
+                return
+            if k + 1 < tries:
+                sleep(wait * (k + 1))
+        raise OSError(f"{source} could not be renamed to {target}")
+
+    if fs.exists(old):
+        if fs.exists(at):
+            fs.delete(old, True)
+        else:
+            moved(old, at)
+    fs.mkdirs(at.getParent())
+    try:
+        write(new.toString())
+        had = fs.exists(at)
+        if had:
+            moved(at, old)
+        try:
+            moved(new, at)
+        except Exception:
+            if had:
+                fs.rename(old, at)
+            raise
+        fs.delete(old, True)
+    except Exception:
+        fs.delete(new, True)
+        raise
+
+
 def write_texts(documents: DataFrame, path: str) -> None:
-    """Contents as text files by key; the committer puts whole files in place. The writer adds the last line feed itself."""
+    """Contents as text files by key; whole files replace those that were there. The writer adds the last line feed itself."""
     keys = [c for c in documents.columns if c != "content"]
-    documents.select(*keys, F.regexp_replace("content", r"\n\z", "").alias("value")).write.partitionBy(*keys).mode("overwrite").text(path)
+    rows = documents.select(*keys, F.regexp_replace("content", r"\n\z", "").alias("value"))
+    replace(documents.sparkSession, path, lambda to: rows.write.partitionBy(*keys).text(to))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    reports.write.mode("overwrite").json(path)
+    """Reports as JSON lines; whole files replace those that were there."""
+    replace(reports.sparkSession, path, lambda to: reports.write.json(to))
