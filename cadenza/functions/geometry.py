@@ -161,3 +161,24 @@ def cover_box(width: Column, height: Column, to_width: int, to_height: int) -> C
     scale = F.greatest(F.lit(float(to_width)) / width, F.lit(float(to_height)) / height)
     w, h = F.ceil(width * scale), F.ceil(height * scale)
     return F.struct(w.alias("width"), h.alias("height"), F.floor((w - to_width) / 2).alias("left"), F.floor((h - to_height) / 2).alias("top"))
+
+
+def mean_brightness(value: Column, default: float = 128.0) -> Column:
+    """Mean of a group's brightness, the default where nothing could be read."""
+    return F.coalesce(F.avg(value), F.lit(default))
+
+
+def outline_width(brightness: Column, bright: float = 190.0) -> Column:
+    """Outline of texts: one wider on a bright ground."""
+    return F.when(brightness > bright, 3).otherwise(2)
+
+
+def mean_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two arrays of one length; null for empty ones."""
+    gaps = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    return F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x), F.size(a))
+
+
+def alike(a: Column, b: Column, limit: float = 8.0) -> Column:
+    """Whether two pictures are the same but for noise."""
+    return mean_difference(a, b) < limit

@@ -8,12 +8,16 @@ numbers follow the usual integer forms of grey, saturation and edges.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Fields of a component.
+BOX = ("x1", "y1", "x2", "y2", "area")
 
 
 @dataclass(frozen=True)
@@ -203,8 +207,7 @@ def picture(pixels: bytes | None, width: int, height: int) -> np.ndarray | None:
 def analysed(frames: DataFrame) -> DataFrame:
     """``video_id, frame_id, readable, brightness, visible, visible_strict, components, boxes`` of each frame."""
     part = "array<struct<x1: bigint, y1: bigint, x2: bigint, y2: bigint, area: bigint>>"
-    box = pa.list_(pa.struct([(k, pa.int64()) for k in ("x1", "y1", "x2", "y2", "area")]))
-    names = ("x1", "y1", "x2", "y2", "area")
+    box = pa.list_(pa.struct([(k, pa.int64()) for k in BOX]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -214,7 +217,7 @@ def analysed(frames: DataFrame) -> DataFrame:
                 if f is None:
                     out.append((False, None, None, None, None, None))
                     continue
-                listed = lambda c: [dict(zip(names, r, strict=True)) for r in c.tolist()]
+                listed = lambda c: [dict(zip(BOX, r, strict=True)) for r in c.tolist()]
                 out.append((True, low_brightness(f), has_text(f), has_text(f, STRICT), listed(components(text_mask(f))), listed(outline_boxes(f))))
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             types = (pa.bool_(), pa.float64(), pa.bool_(), pa.bool_(), box, box)
@@ -223,3 +226,39 @@ def analysed(frames: DataFrame) -> DataFrame:
     t = dict(frames.dtypes)
     schema = f"video_id {t['video_id']}, frame_id {t['frame_id']}, readable boolean, brightness double, visible boolean, visible_strict boolean, components {part}, boxes {part}"
     return frames.select("video_id", "frame_id", "frame_width", "frame_height", "pixels").mapInArrow(run, schema)
+
+
+def paired(finals: DataFrame, originals: DataFrame, keys: Sequence[str] = ("video_id", "frame_id")) -> DataFrame:
+    """Frames of both by their number, other columns as ``final_...`` and ``original_...``: a frame that could not be read leaves the others' pairs alone."""
+    named = lambda df, kind: df.select(*keys, *(F.col(c).alias(f"{kind}_{c}") for c in df.columns if c not in keys))
+    return named(finals, "final").join(named(originals, "original"), list(keys))
+
+
+def added(finals: DataFrame, originals: DataFrame) -> DataFrame:
+    """``video_id, frame_id, frame_width, frame_height, readable, added_pixels, components`` of each pair of frames: the text that only the final one has.
+
+    Frames: ``video_id, frame_id, frame_width, frame_height, pixels``. A pair
+    is readable if both have as many bytes as their size, which is the same.
+    """
+    box = pa.list_(pa.struct([(k, pa.int64()) for k in BOX]))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            sizes = (f"{kind}_frame_{side}" for kind in ("final", "original") for side in ("width", "height"))
+            for w, h, ow, oh, final, original in zip(*(b.column(c).to_pylist() for c in (*sizes, "final_pixels", "original_pixels")), strict=True):
+                f, o = picture(final, w or 0, h or 0), picture(original, ow or 0, oh or 0)
+                if f is None or o is None or f.shape != o.shape:
+                    out.append((False, None, None))
+                    continue
+                mask = added_mask(f, o)
+                out.append((True, int(mask.sum()), [dict(zip(BOX, r, strict=True)) for r in components(mask).tolist()]))
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            plain = [b.column(c) for c in ("video_id", "frame_id", "final_frame_width", "final_frame_height")]
+            yield pa.RecordBatch.from_arrays([*plain, *(pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.int64(), box), strict=True))], names=["video_id", "frame_id", "frame_width", "frame_height", "readable", "added_pixels", "components"])
+
+    pairs = paired(finals, originals).select("video_id", "frame_id", *(f"{kind}_{c}" for kind in ("final", "original") for c in ("frame_width", "frame_height", "pixels")))
+    t = dict(pairs.dtypes)
+    part = "array<struct<x1: bigint, y1: bigint, x2: bigint, y2: bigint, area: bigint>>"
+    schema = f"video_id {t['video_id']}, frame_id {t['frame_id']}, frame_width {t['final_frame_width']}, frame_height {t['final_frame_height']}, readable boolean, added_pixels long, components {part}"
+    return pairs.mapInArrow(run, schema)

@@ -266,16 +266,16 @@ FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM
 def x7_cover_similarity(spark, d):
     e = V.table(spark, d, "embeddings")
     both = e.select("vec_id", "embedding").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
-    gap = F.aggregate(F.zip_with("embedding", "other", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size("embedding")
-    return both.select("vec_id", F.round(gap, 6).alias("difference"), (gap < 0.16).alias("alike"))
+    a, b = F.col("embedding"), F.col("other")
+    return both.select("vec_id", F.round(G.mean_difference(a, b), 6).alias("difference"), G.alike(a, b, 0.16).alias("alike"))
 
 
 @query("a5_brightness", """
 SELECT label, coalesce(avg(v), 128) > 0 AS bright, CASE WHEN coalesce(avg(v), 128) > 0 THEN 3 ELSE 2 END AS outline FROM (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label""")
 def a5_brightness(spark, d):
     v = V.table(spark, d, "embeddings").select("label", F.explode("embedding").alias("e")).withColumn("v", F.col("e").cast("double"))
-    mean = F.coalesce(F.avg("v"), F.lit(128.0))
-    return v.groupBy("label").agg((mean > 0).alias("bright"), F.when(mean > 0, 3).otherwise(2).alias("outline"))
+    mean = G.mean_brightness(F.col("v"))
+    return v.groupBy("label").agg((mean > 0).alias("bright"), G.outline_width(mean, 0.0).alias("outline"))
 
 
 @query("s9_frame_numbers", """SELECT l_orderkey, l_linenumber, greatest(0, least(999, floor(l_extendedprice / 1000 * 25)::BIGINT)) AS frame_no FROM lineitem""")
@@ -295,3 +295,30 @@ def x1_frame_pixels(spark, d):
     pixels = F.unhex(F.array_join(dark, ""))
     frames = e.select(F.col("label").alias("video_id"), F.col("vec_id").alias("frame_id"), F.lit(64).alias("frame_width"), F.lit(96).alias("frame_height"), pixels.alias("pixels"))
     return analysed(frames).select("video_id", "frame_id", F.round("brightness", 4).alias("brightness"), "visible", "visible_strict", F.size("components").alias("n_components"), F.size("boxes").alias("n_boxes"))
+
+
+def frame_pairs(spark, d):
+    """Finals and originals of 160 by 120: a letter of the original's line for each of ten components above 0, one of the line the final adds for each of ten others; every tenth final is cut short."""
+    e = V.table(spark, d, "embeddings")
+    ground, light = "202830", "F0F0F0"
+    blank = F.lit(ground * 160)
+    line = lambda first: F.concat(*(F.concat(F.when(F.get("embedding", F.lit(first + i)) > 0, light * 4).otherwise(ground * 4), F.lit(ground * 12)) for i in range(10)))
+    rows = lambda row, n: F.repeat(row, F.lit(n))
+    own = F.concat(rows(blank, 30), rows(line(0), 10))
+    original = F.concat(own, rows(blank, 80))
+    final = F.concat(own, rows(blank, 30), rows(line(20), 5), rows(blank, 45))
+    frame = lambda pixels: e.select(F.col("label").alias("video_id"), F.col("vec_id").alias("frame_id"), F.lit(160).alias("frame_width"), F.lit(120).alias("frame_height"), F.unhex(pixels).alias("pixels"))
+    return frame(F.when(F.col("vec_id") % 10 == 0, F.substring(final, 1, 6000)).otherwise(final)), frame(original)
+
+
+@query("x2_added_text")
+def x2_added_text(spark, d):
+    """Text that only the final frame of a pair has, its components, and the bands they make."""
+    from ..operators.pixels import added
+
+    found = added(*frame_pairs(spark, d))
+    keys = ("video_id", "frame_id")
+    letters = found.select(*keys, "frame_width", "frame_height", F.explode("components").alias("c")).select(*keys, "frame_width", "frame_height", "c.*")
+    bands = B.bands(B.text_components(letters, 0.25, 0.95), keys).groupBy(*keys).agg(F.count("*").alias("n_bands"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
+    told = found.select(*keys, "readable", "added_pixels", F.size("components").alias("n_components"))
+    return told.join(bands, list(keys), "left").withColumn("n_bands", F.coalesce("n_bands", F.lit(0)))
