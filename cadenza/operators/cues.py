@@ -82,10 +82,8 @@ def separated(cues: DataFrame, o: Clean = Clean(), keys: Keys = ("video_id",)) -
     a time moves nothing; one that joins another and ends before it starts
     counts as ending there.
     """
-    out = scan.deoverlapped(cues, keys, o.min_ms, o.merge_short)
-    if o.merge_short:
-        out = written(out, "separated")
-    tall = scan.running(out, keys, _n=("sum", F.col("_head").cast("long"))).withColumn("_n", F.col("_n") + F.col("_head").cast("long"))
+    out = written(scan.deoverlapped(cues, keys, o.min_ms, o.merge_short), "separated")
+    tall = scan.counted(out, keys, "_k", "_n")
     if o.merge_short and not out.where(~F.col("_head")).isEmpty():
         joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))), lambda r: r["text"]), "")
         own = {c: F.min_by(c, "ord") for c in cues.columns if c not in keys}

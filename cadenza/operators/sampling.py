@@ -72,9 +72,9 @@ def near_centre(cues: DataFrame, duration: str, n: int, interval: float = 1.0, c
     tracks = [f"_k_{k}" for k in keys]
     named = [F.col(k).alias(f"_k_{k}") for k in keys]
     # A track's state: the seconds taken so far and the last cue chosen.
-    got = rows.select(*named).distinct().select(*tracks, F.array().cast("array<double>").alias("taken"), F.lit(None).cast(dict(rows.dtypes)["c"]).alias("last"))
-    for _ in range(n):
-        after = F.col("last").isNull() | (F.struct("c.d", "c.ord") > F.struct("last.d", "last.ord"))
+    got = rows.groupBy(*named).agg(F.min("c").alias("last")).select(*tracks, F.slice(F.array("last.s"), 1, min(n, 1)).alias("taken"), "last")
+    for _ in range(n - 1):
+        after = F.struct("c.d", "c.ord") > F.struct("last.d", "last.ord")
         apart = F.forall("taken", lambda g: F.abs(F.col("c.t") - g) >= interval)
         best = rows.join(got, same).groupBy(*tracks).agg(F.min(F.when(after & apart, F.col("c"))).alias("best"), F.first("taken").alias("taken"), F.first("last").alias("last"))
         took = F.when(F.col("best").isNull(), F.col("taken")).otherwise(F.array_append("taken", F.col("best.s")))

@@ -195,13 +195,12 @@ def _summed(k: int, names: list[str], merge: bool):
 
 
 def _applied(k: int, min_ms: int, merge: bool):
-    """Starts and ends with overlaps taken out, and which cues stay cues (``_head``)."""
+    """Starts and ends with overlaps taken out, which cues stay cues (``_head``), and how many have in the part so far (``_k``)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = -FAR  # the end before the batch
+        last, heads = -FAR, 0  # the end before the batch, and the cues of its first part
         for batch in it:
             if not batch.num_rows:
-                yield batch.append_column("_head", pa.array([], pa.bool_()))
                 continue
             opens, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in (FIRST, BROUGHT))
             s, e, known = _times(batch)
@@ -224,17 +223,22 @@ def _applied(k: int, min_ms: int, merge: bool):
             start = np.where(over, before + 1, s)
             end = np.where(over, np.maximum(e, before + 1 + min_ms), e)
             head = ~(known & ~alone & (end - start < min_ms)) if merge else np.ones(len(s), bool)
+            said = np.cumsum(head & ~own)
+            begin = np.maximum.accumulate(np.where(opens, np.arange(len(s)), -1))
+            count = said - np.where(begin >= 0, said[begin] - (head & ~own)[begin], -heads)
+            heads = int(count[-1])
             for name, x in (("start_ms", start), ("end_ms", end)):
                 i = batch.schema.get_field_index(name)
                 new = pa.array(x, pa.int64()).cast(batch.schema.field(i).type)
                 batch = batch.set_column(i, batch.schema.field(i), new if known.all() else pc.if_else(pa.array(known), new, batch.column(i)))
-            yield batch.append_column("_head", pa.array(head)).filter(pa.array(~own))
+            yield batch.append_column("_head", pa.array(head)).append_column("_k", pa.array(count, pa.int64())).filter(pa.array(~own))
 
     return run
 
 
 def deoverlapped(cues: DataFrame, keys: Keys, min_ms: int, merge: bool) -> DataFrame:
-    """``cues`` with no start before the end of the cue before, and ``_head``: false where, with ``merge``, a cue too short joins the one before.
+    """``cues`` with no start before the end of the cue before, ``_head``: false where, with ``merge``, a cue too short joins the one before,
+    and ``_k``, how many cues of the part (``_part``) have not, up to this one.
 
     What a cue does to the end before it is a function of three numbers, and so
     is one after another, so a part's cues are put together without knowing
@@ -266,5 +270,16 @@ def deoverlapped(cues: DataFrame, keys: Keys, min_ms: int, merge: bool) -> DataF
     both = opened(carried(tall, carry.withColumn("end_ms", F.col("end_ms").cast(types["end_ms"]))))
     every = [*columns, PART, BROUGHT, FIRST]
     types |= {BROUGHT: "boolean", FIRST: "boolean"}
-    out = both.select(*every).mapInArrow(_applied(k, min_ms, merge), f"{listed(every)}, _head boolean")
-    return out.select(*columns, "_head")
+    out = both.select(*every).mapInArrow(_applied(k, min_ms, merge), f"{listed(every)}, _head boolean, _k long")
+    return out.select(*columns, PART, "_head", "_k")
+
+
+def counted(parts: DataFrame, keys: Keys, within: str, name: str) -> DataFrame:
+    """``parts`` (``_part`` and counts up to each row of its part) with the count of the whole track up to each row."""
+    sums = parts.groupBy(*keys, PART).agg(F.max(within).alias(name))
+    carry = brought(sums, keys, {name: F.lit(0).cast("long")}, lambda now, x: {name: now[name] + x[name]})
+    named = carry.select(*(F.col(c).alias(f"_c_{c}") for c in (*keys, PART)), F.col(name).alias("_c"))
+    same = F.lit(True)
+    for c in (*keys, PART):
+        same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    return parts.join(named, same, "left").withColumn(name, F.col(within) + F.coalesce("_c", F.lit(0))).drop("_c", *(f"_c_{c}" for c in (*keys, PART)))

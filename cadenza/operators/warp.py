@@ -2,7 +2,7 @@
 
 A pair's cost matrix is never stored. Its cells are filled one anti-diagonal
 after the other, as each depends on the two before it alone, and only every
-root-th pair of diagonals is kept. On the way back the diagonals between two
+root-th pair of diagonals is kept (of a small pair all moves are). On the way back the diagonals between two
 kept ones are filled again, now with their moves, so a pair of n by m takes
 memory of the order of n times the root of n + m.
 """
@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 #: Moves into a cell: from the diagonal, from above, from the left.
 DIAGONAL, DOWN, RIGHT = 0, 1, 2
 
+#: Moves, one byte each, that are kept without being filled again.
+SMALL = 1 << 20
+
 Cost = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -52,23 +55,29 @@ class _Pair:
         n, m = self.n, self.m
         if not n or not m:
             return np.zeros((0, 2), dtype=np.int64)
-        step = isqrt(n + m) + 1
+        # A small pair's moves are kept as they come.
+        small, moves = n * (n + m) <= SMALL, {}
+        step = n + m + 1 if small else isqrt(n + m) + 1
         two, one = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
         two[0] = 0.0
         kept = {1: (two, one)}
         for k in range(2, n + m + 1):
-            two, one = one, self.next(k, two, one)[0]
-            if k % step == 1:
+            new, how = self.next(k, two, one, small)
+            two, one = one, new
+            if small:
+                moves[k] = how
+            elif k % step == 1:
                 kept[k] = (two, one)
         i, j, out = n, m, []
         for k0 in sorted(kept, reverse=True):
             if i + j <= k0:
                 continue
             two, one = kept[k0]
-            moves = {}
-            for k in range(k0 + 1, i + j + 1):
-                new, moves[k] = self.next(k, two, one, moves=True)
-                two, one = one, new
+            if not small:
+                moves = {}
+                for k in range(k0 + 1, i + j + 1):
+                    new, moves[k] = self.next(k, two, one, True)
+                    two, one = one, new
             while i and j and i + j > k0:
                 out.append((i - 1, j - 1))
                 how = moves[i + j][i]
@@ -104,4 +113,5 @@ def warp(pairs: DataFrame, cost: Cost = distance) -> DataFrame:
                     number = pa.array([pair.column("pair_id")[0].as_py()] * len(part), pa.int64())
                     yield pa.RecordBatch.from_arrays([number, pa.array(np.arange(lo, lo + len(part))), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["pair_id", "step", "i", "j"])
 
-    return pairs.select("pair_id", "a", "b").mapInArrow(run, "pair_id long, step long, i long, j long")
+    # A pair is much work for one row, so pairs are dealt over all tasks.
+    return pairs.select("pair_id", "a", "b").repartition("pair_id").mapInArrow(run, "pair_id long, step long, i long, j long")

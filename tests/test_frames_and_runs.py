@@ -94,7 +94,10 @@ def test_hash_ignores_force_and_keys():
     assert a == R.step_hash("s", {"provider": "p", "x": 1, "retry": {}}, {"p": {"api_key": "other"}}) != R.step_hash("s", {"x": 2, "provider": "p"}, {"p": {"api_key": "k"}})
 
 
-def test_warp():
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_warp(small, monkeypatch):
+    monkeypatch.setattr("cadenza.operators.warp.SMALL", small)
+
     def plain(x):
         n, m = x.shape
         c = np.full((n + 1, m + 1), np.inf)
