@@ -177,13 +177,20 @@ _STEP, _SMALL_STEP = 1 << 12, 1 << 6
 
 def _unpacked(packed: Iterator[bytes], most: int) -> Iterator[bytes]:
     """What compressed bytes hold, at most ``most`` bytes at a time, up to their end or the first fault: all that comes before it, also if only a checksum is wrong."""
-    reader = None
+    reader, fresh = None, True
     for whole in packed:
         reader = reader or _opened(bytes(whole[:6]))
         copies = hasattr(reader, "copy")
         step = _STEP if copies else _SMALL_STEP
         for at in range(0, len(whole), step):
             feed = whole[at : at + step]
+            if fresh and copies:  # most that looks like a stream fails before its first byte
+                try:
+                    out = reader.decompress(feed, 1)
+                except _broken():
+                    return
+                yield out
+                fresh, feed = False, reader.unconsumed_tail
             saved, told = reader.copy() if copies else None, 0
             try:
                 for out in _fed(reader, feed, most):
