@@ -29,8 +29,8 @@ def s4_read_documents(spark, d):
     path = S.scratch(spark, "json")
     i = F.col("p_partkey")
     document = F.to_json(F.struct(i.alias("id"), F.struct(F.col("p_name").alias("name")).alias("about"), F.when(i % 3 != 0, F.col("p_size")).alias("size")), {"pretty": "true"})
-    V.table(spark, d, "part").select(document.alias("value"), i.alias("folder")).write.partitionBy("folder").text(path)
-    return S.read_documents(spark, f"{path}/*", "id long, about struct<name: string>, size long").select("id", "about.name", "size")
+    V.table(spark, d, "part").select(document.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return S.read_documents(spark, path, "id long, about struct<name: string>, size long").select("id", "about.name", "size")
 
 
 @query("s1_input_listing", """
