@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,6 +55,11 @@ def whole(x: Column) -> Column:
     return x.cast("long")
 
 
+def exact(x: float) -> Column:
+    """A constant as the decimal it is written as, so that scores made of such ones tie where they are equal."""
+    return F.lit(Decimal(str(x)))
+
+
 def width_of(b: Column) -> Column:
     return b["x2"] - b["x1"]
 

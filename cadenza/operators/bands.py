@@ -135,8 +135,10 @@ def primary_fit(b: Column, e: Column, w: Column, h: Column, detected_y2: Column,
         & (G.horizontal_overlap(e, b) >= o.pair_overlap)
         & (gap <= o.pair_max_gap)
     )
-    score = b["width"] * 0.25 + F.coalesce(b["component_count"], F.lit(0)) * 16 + b["y2"] * 0.8 - F.abs((b["y1"] + b["y2"]) / 2 - h * o.preferred_y) * 0.25 - F.abs(gap - h * o.pair_ideal_gap) * 5.0
-    return ok, score
+    # Decimals until the middle, a half, comes in: equal scores are equal, and then the first band counts.
+    size = b["width"] * G.exact(0.25) + F.coalesce(b["component_count"], F.lit(0)) * 16 + b["y2"] * G.exact(0.8)
+    middle = F.abs((b["y1"] + b["y2"]) / 2 - (h * G.exact(o.preferred_y)).cast("double"))
+    return ok, size.cast("double") - middle * 0.25 - (F.abs(gap - h * G.exact(o.pair_ideal_gap)) * 5).cast("double")
 
 
 def visual_fit(b: Column, e: Column, w: Column, h: Column, detected_y2: Column, o: Layout = Layout()) -> tuple[Column, Column]:
@@ -152,7 +154,7 @@ def visual_fit(b: Column, e: Column, w: Column, h: Column, detected_y2: Column,
         & (G.horizontal_overlap(e, b) >= o.visual_overlap)
         & (gap <= o.visual_max_gap)
     )
-    return ok, -F.abs(gap - h * o.pair_ideal_gap) * 4 + b["width"] * 0.35 + F.coalesce(b["component_count"], F.lit(0)) * 8
+    return ok, -F.abs(gap - h * G.exact(o.pair_ideal_gap)) * 4 + b["width"] * G.exact(0.35) + F.coalesce(b["component_count"], F.lit(0)) * 8
 
 
 def detected_fit(b: Column, e: Column, w: Column, o: Layout = Layout()) -> Column:
