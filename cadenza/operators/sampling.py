@@ -13,6 +13,11 @@ from ..sources.files import written
 Keys = Sequence[str]
 
 
+def thousandths(second: Column) -> Column:
+    """Rounded to milliseconds: a thousandfold to the nearest integer, half to even, as SQL engines do, not the decimal that a float prints as."""
+    return F.rint(second * 1000) / 1000
+
+
 def even(duration: Column, n: int) -> Column:
     """n seconds that cut a duration evenly."""
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i * duration / F.lit(float(n + 1)))
@@ -62,9 +67,9 @@ def near_centre(cues: DataFrame, duration: str, n: int, interval: float = 1.0, c
     if clamp:
         second = F.greatest(F.col("start_ms") / F.lit(1000.0) + 0.05, F.least(F.col("end_ms") / F.lit(1000.0) - 0.05, second))
     inside = lambda x: F.greatest(F.lit(0.0), F.least(F.col(duration), x))
-    plain = F.bround(inside(middle / 1000), 3)
+    plain = thousandths(inside(middle / 1000))
     tested = second if clamp else plain
-    c = F.struct(F.abs(middle - F.col(duration) * 500).alias("d"), "ord", tested.alias("t"), F.bround(inside(second), 3).alias("s"), plain.alias("p"))
+    c = F.struct(F.abs(middle - F.col(duration) * 500).alias("d"), "ord", tested.alias("t"), thousandths(inside(second)).alias("s"), plain.alias("p"))
     rows = written(cues.where("end_ms > start_ms").select(*keys, c.alias("c")), "middles")
     same = F.lit(True)
     for k in keys:

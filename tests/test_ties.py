@@ -29,3 +29,11 @@ def test_equal_scores_leave_it_to_the_order(spark, kind, rows):
     frame = bands(spark, [(9, 100, 700, 600, 740, 9)]).select("video_id", "frame_id", "frame_width", "frame_height", F.col("b").alias("e"), F.lit(None).cast(B.BOX).alias("detected"))
     got = B.primary(frame, f if kind == "original" else f.limit(0), f if kind == "visual" else f.limit(0)).first()
     assert (got.primary.x1, got.confidence) == (rows[0][1], kind)
+
+
+def test_middles_round_as_sql_rounds(spark):
+    """A middle of 131.0405 seconds is a trace over the half as a thousandfold, one of 129.9895 under it."""
+    cues = spark.createDataFrame([("v", 1, 131000, 131081), ("v", 2, 129900, 130079)], "video_id string, ord long, start_ms long, end_ms long").withColumn("t", F.lit(300.0))
+    for fill in (False, True):
+        got = S.near_centre(cues, "t", 2, 500.0 if fill else 1.0, fill=fill, keys=("video_id", "t")).first().seconds
+        assert got == [129.989, 131.041]
