@@ -189,7 +189,8 @@ def filter_path(text: Column) -> Column:
 
 
 def data_url(mime: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    """One line, whatever its length: line ends that the encoder puts in after every 76 characters are taken out."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def redact(config: Column, key: str = "api_key") -> Column:

@@ -37,3 +37,9 @@ def test_middles_round_as_sql_rounds(spark):
     for fill in (False, True):
         got = S.near_centre(cues, "t", 2, 500.0 if fill else 1.0, fill=fill, keys=("video_id", "t")).first().seconds
         assert got == [129.989, 131.041]
+
+
+def test_data_url_is_one_line(spark):
+    content = "x" * 200
+    got = spark.range(1).select(T.data_url(F.lit("image/jpeg"), F.lit(content).cast("binary")).alias("u")).first().u
+    assert got.split(",")[0] == "data:image/jpeg;base64" and not set(got) & set("\r\n") and len(got.split(",")[1]) == 4 * math.ceil(200 / 3)
