@@ -127,9 +127,14 @@ def _groups(pairs) -> Column:
     return F.array(*(F.struct(F.lit(en).alias("en"), F.lit(zh).alias("zh")) for en, zh in pairs))
 
 
-def local_titles(stem: Column, zh: Column) -> Column:
-    """Two title groups from a file's stem, or the plot's own where its words occur."""
-    title = F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, "^[a-zA-Z0-9]+", ""), "#.*", ""), "(?U)" + TITLE_MARKS, "")
+def local_titles(stem: Column, zh: Column, every: bool = True) -> Column:
+    """Two title groups from a file's stem, or the plot's own where its words occur.
+
+    From a ``#`` on a line goes: ``every`` line of a stem that has several, or only the first one with a ``#``.
+    """
+    plain = F.regexp_replace(stem, "^[a-zA-Z0-9]+", "")
+    untagged = F.regexp_replace(plain, r"#[^\n]*" if every else r"(?s)^([^#]*)#[^\n]*(.*)$", "" if every else "$1$2")
+    title = F.regexp_replace(untagged, "(?U)" + TITLE_MARKS, "")
     whole = F.length(title) >= 12
     halves = [F.substring(title, 1, 8), F.substring(title, 9, 8)]
     groups = F.array(*(F.struct(F.lit(en).alias("en"), F.when(whole | (h != ""), h).otherwise(F.lit(zh)).alias("zh")) for (en, zh), h in zip(TITLE_DEFAULTS, halves, strict=True)))

@@ -43,3 +43,11 @@ def test_data_url_is_one_line(spark):
     content = "x" * 200
     got = spark.range(1).select(T.data_url(F.lit("image/jpeg"), F.lit(content).cast("binary")).alias("u")).first().u
     assert got.split(",")[0] == "data:image/jpeg;base64" and not set(got) & set("\r\n") and len(got.split(",")[1]) == 4 * math.ceil(200 / 3)
+
+
+@pytest.mark.parametrize("stem, first, every", [("ab12Der#.\nmehr#tag", "mehr#tag", "mehr"), ("ab12Der!#a\rb#tag", "家庭冲突爆发", "家庭冲突爆发"), ("ab12、x", "、x", "、x")])
+def test_tags_of_titles(spark, stem, first, every):
+    """A tag goes to the end of its line, which a line feed alone ends; of several lines the first one's alone, or all."""
+    s = spark.createDataFrame([(stem,)], "s string")
+    for kind, want in ((False, first), (True, every)):
+        assert s.select(T.local_titles(F.col("s"), F.lit(""), kind)[0]["zh"].alias("t")).first().t == want
