@@ -137,6 +137,14 @@ def write_texts(documents: DataFrame, path: str) -> None:
     replace(documents.sparkSession, path, lambda to: rows.write.partitionBy(*keys).text(to))
 
 
+def write_documents(documents: DataFrame, path: str, bits: int = 10) -> None:
+    """JSON texts (``document``) as files that hold a list of up to 2 to the ``bits`` of them each, so files, and what lists and opens them, stay few."""
+    numbered = documents.select("document", F.shiftright(F.monotonically_increasing_id(), bits).alias("file"))
+    lists = numbered.groupBy("file").agg(F.collect_list("document").alias("d"))
+    text = F.concat(F.lit("[\n"), F.array_join("d", ",\n"), F.lit("\n]"))
+    replace(documents.sparkSession, path, lambda to: lists.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(to))
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """Reports as JSON lines; whole files replace those that were there."""
     replace(reports.sparkSession, path, lambda to: reports.write.json(to))

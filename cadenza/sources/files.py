@@ -57,7 +57,7 @@ def list_videos(spark: SparkSession, folder: str, single: str | None = None) ->
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One JSON object per file, by an explicit schema."""
+    """Files of one JSON object, or of a list of them, by an explicit schema."""
     return spark.read.json(path, multiLine=True, schema=schema)
 
 
