@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sinks import replace
+from ..sources.files import written
 from .runs import Retry
 
 #: Answers a prompt or fails; told which attempt it is, from 1.
@@ -70,17 +71,19 @@ def _state(calls: DataFrame) -> DataFrame:
     return calls.groupBy("request").agg(F.max(F.struct("round", "provider", "attempt", F.col("reply").isNotNull().alias("ok"), "reply", "error")).alias("s")).select("request", "s.*")
 
 
+def _next(failed: DataFrame, providers: int, policy: Retry) -> DataFrame:
+    """``request, prompt, provider, attempt`` of what is asked after calls that failed."""
+    again = T.is_transient(F.col("error")) & (F.col("attempt") < policy.attempts)
+    next_ = failed.select("request", "prompt", F.when(again, F.col("provider")).otherwise(F.col("provider") + 1).alias("provider"), F.when(again, F.col("attempt") + 1).otherwise(1).alias("attempt"))
+    return next_.where(F.col("provider") < providers)
+
+
 def _open(asked: DataFrame, calls: DataFrame, providers: int, policy: Retry) -> DataFrame:
     """``request, prompt, provider, attempt`` of what has to be asked now."""
     last = _state(calls).select(F.col("request").alias("_r"), "provider", "attempt", "ok", "error")
-    again = T.is_transient(F.col("error")) & (F.col("attempt") < policy.attempts)
     both = asked.join(last, F.col("request") == F.col("_r"), "left").where(~F.coalesce("ok", F.lit(False)))
-    next_ = both.select(
-        "request", "prompt",
-        F.when(F.col("_r").isNull(), 0).when(again, F.col("provider")).otherwise(F.col("provider") + 1).alias("provider"),
-        F.when(F.col("_r").isNotNull() & again, F.col("attempt") + 1).otherwise(1).alias("attempt"),
-    )
-    return next_.where(F.col("provider") < providers)
+    new = both.where("_r IS NULL").select("request", "prompt", F.lit(0).alias("provider"), F.lit(1).alias("attempt"))
+    return new.unionByName(_next(both.where("_r IS NOT NULL"), providers, policy))
 
 
 def answered(prompts: DataFrame, providers: Sequence[Provider], folder: str, policy: Retry = Retry(), default: str | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
@@ -89,22 +92,32 @@ def answered(prompts: DataFrame, providers: Sequence[Provider], folder: str, pol
     ``folder`` keeps every call. There are as many rounds as a request can
     have attempts, at most. Rows whose prompts are equal share an answer; a
     provider that returns nothing has answered with an empty text.
+
+    What is open is found by a join once, when a run begins or is taken up: a
+    round asks all that is open, so what failed in it is what the next one has
+    to ask, and no round goes over the prompts or the earlier rounds again.
     """
     spark = prompts.sparkSession
     asked = keyed(prompts).select("request", F.coalesce("prompt", F.lit("")).alias("prompt")).distinct()
     waits = [max(0.0, policy.seconds * policy.factor**k) for k in range(policy.attempts)]
     safe = [lambda p, k, one=one: one(p, k) or "" for one in providers]
-    while True:
-        calls = log(spark, folder)
-        now = _open(asked, calls, len(providers), policy)
-        most = now.agg(F.max("attempt").alias("k")).first()["k"]
-        if most is None:
-            break
+    done = rounds(spark, folder)
+    if done:
+        now = written(_open(asked, log(spark, folder), len(providers), policy), "open")
+    else:
+        now = asked.select("request", "prompt", F.lit(0).alias("provider"), F.lit(1).alias("attempt")).where(F.col("provider") < len(providers))
+    # Of a first round it is known without a look that all are first attempts.
+    most = now.agg(F.max("attempt").alias("k")).first()["k"] if done else (1 if providers and not prompts.isEmpty() else None)
+    while most is not None:
         if most > 1:
             sleep(waits[most - 2])
-        replace(spark, f"{folder}/round={rounds(spark, folder)}", lambda to: now.mapInArrow(_asked(safe), _LOG).write.parquet(to))  # noqa: B023  called at once
+        path = f"{folder}/round={rounds(spark, folder)}"
+        replace(spark, path, lambda to: now.mapInArrow(_asked(safe), _LOG).write.parquet(to))  # noqa: B023  called at once
+        now = _next(spark.read.schema(_LOG).parquet(path).where("reply IS NULL"), len(providers), policy)
+        most = now.agg(F.max("attempt").alias("k")).first()["k"]
     calls = log(spark, folder)
-    last = _state(calls).join(calls.groupBy("request").agg(F.count("*").alias("calls")), "request")
-    failed = calls.where("error IS NOT NULL").groupBy("request").agg(F.max(F.struct("round", "error"))["error"].alias("failure"))
-    told = last.join(failed, "request", "left").select(F.col("request").alias("_r"), F.coalesce("reply", F.lit(default)).alias("reply"), F.when(F.col("ok"), F.col("provider")).alias("provider"), "calls", F.col("failure").alias("error"))
+    state = F.max(F.struct("round", "provider", F.col("reply").isNotNull().alias("ok"), "reply"))
+    failure = F.max(F.when(F.col("error").isNotNull(), F.struct("round", "error")))["error"]
+    last = calls.groupBy("request").agg(state.alias("s"), F.count("*").alias("calls"), failure.alias("failure")).select("s.*", "request", "calls", "failure")
+    told = last.select(F.col("request").alias("_r"), F.coalesce("reply", F.lit(default)).alias("reply"), F.when(F.col("ok"), F.col("provider")).alias("provider"), "calls", F.col("failure").alias("error"))
     return keyed(prompts).join(told, F.col("request") == F.col("_r")).drop("_r", "request")
