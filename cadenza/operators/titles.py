@@ -16,5 +16,7 @@ def extents(lines: DataFrame, gap: int = 11, keys: Sequence[str] = ("video_id",)
 def fitting_size(lines: DataFrame, safe_width: int, safe_height: int, low: int = 40, high: int = 60, step: int = 2, gap: int = 11, keys: Sequence[str] = ("video_id",)) -> DataFrame:
     """The largest size tried, from ``high`` down, whose lines fit; null if none does."""
     tried = (F.col("size") <= high) & (F.col("size") >= low) & ((high - F.col("size")) % step == 0)
-    fits = tried & (F.col("widest") <= safe_width) & (F.col("tall") <= safe_height)
-    return extents(lines, gap, keys).groupBy(*keys).agg(F.max(F.when(fits, F.col("size"))).alias("size"))
+    fits = (F.col("widest") <= safe_width) & (F.col("tall") <= safe_height)
+    # Sizes that are not tried are left out before they are added up; a title that has no others still counts.
+    title = lines.select(*keys, F.when(tried, F.col("size")).alias("size"), "width", "height")
+    return extents(title, gap, keys).groupBy(*keys).agg(F.max(F.when(fits, F.col("size"))).alias("size"))
