@@ -137,6 +137,11 @@ def write_texts(documents: DataFrame, path: str) -> None:
     replace(documents.sparkSession, path, lambda to: rows.write.partitionBy(*keys).text(to))
 
 
+def write_packed(documents: DataFrame, path: str) -> None:
+    """Contents with their keys as JSON lines, many to a file, so files, and what lists and opens them, grow with the bytes and not with the tracks; whole files replace those that were there."""
+    replace(documents.sparkSession, path, lambda to: documents.write.json(to))
+
+
 def write_documents(documents: DataFrame, path: str, bits: int = 10) -> None:
     """JSON texts (``document``) as files that hold a list of up to 2 to the ``bits`` of them each, so files, and what lists and opens them, stay few."""
     numbered = documents.select("document", F.shiftright(F.monotonically_increasing_id(), bits).alias("file"))
